@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, langid, line_dedup, mixing, quality, simhash
+from . import attention_lm, chat_format, decontaminate, langid, line_dedup, mixing, quality, simhash
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out(F.col("doc_id"), 7, 2)
+    scored = attention_lm.score(table(spark, sf_dir, "documents"), ~out)
+    return scored.withColumn("held_out", out)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.mark_lines(table(spark, sf_dir, "documents"))
     return marked.select(
@@ -81,5 +87,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_language_id, op3_line_dedup, op5_chat_format, op7_decontamination, op8_simhash, op9_mixing, op10_quality_rules)
+    f.__name__: f for f in (op1_language_id, op2_lm_score, op3_line_dedup, op5_chat_format, op7_decontamination, op8_simhash, op9_mixing, op10_quality_rules)
 }
