@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, chat_format, decontaminate, langid, line_dedup, mixing, quality, simhash
+from . import attention_lm, chat_format, decontaminate, langid, line_dedup, mixing, passage_dedup, quality, simhash, suffix_dedup
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passage_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("n").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,6 +60,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup_strings(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -87,5 +99,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_language_id, op2_lm_score, op3_line_dedup, op5_chat_format, op7_decontamination, op8_simhash, op9_mixing, op10_quality_rules)
+    f.__name__: f for f in (op1_language_id, op2_lm_score, op3_line_dedup, op4_passage_dedup, op5_chat_format, op6_suffix_dedup, op7_decontamination, op8_simhash, op9_mixing, op10_quality_rules)
 }
