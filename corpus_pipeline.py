@@ -13,13 +13,17 @@ from panelwright.llm import common, stages
 STAGES = [
     ("language_id", stages.language_id),
     ("line_dedup", stages.line_dedup_stage),
+    ("simhash_near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontamination),
+    ("mixing", stages.source_mix),
 ]
 
-#: The first, third and fourth stage are not expressed in SQL.
+#: Components of near copies and the shards of the mix are not expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the table documents."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir), name)

@@ -140,7 +140,13 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", dim: int = DI
 
 
 def predict(
-    df: DataFrame, labels: list[str], prototypes: np.ndarray, text: str = "text", dim: int = DIM, center: bool = True
+    df: DataFrame,
+    labels: list[str],
+    prototypes: np.ndarray,
+    text: str = "text",
+    dim: int = DIM,
+    center: bool = True,
+    names_out: tuple[str, str, str] = ("lang_pred", "score", "margin"),
 ) -> DataFrame:
     """df with lang_pred, score (the cosine as 0 to 1) and margin over the second language.
 
@@ -174,7 +180,7 @@ def predict(
     kinds = [f.dataType.simpleString() for f in df.schema] + ["string", "double", "double"]
     src = df.select(df[text].alias("_text"), *[df[c].alias(f"c{i}") for i, c in enumerate(kept)])
     out = src.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
-    return out.toDF(*kept, "lang_pred", "score", "margin")
+    return out.toDF(*kept, *names_out)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

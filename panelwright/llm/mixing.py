@@ -206,10 +206,12 @@ def _plan(sized: DataFrame, seed: int, block_words: int, levels: int, share: flo
 
 
 def draw(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: shard, place and the document's columns, once a draw, with its words.
+    """The mix itself: shard, place, taken, pass and the document's columns, once a draw.
 
-    A document taken in part keeps its first words. Rows of a shard are in the
-    order of a hash.
+    Columns that clash with the first four get the prefix ``doc_``.
+
+    A document taken in part keeps its first words, joined by one space. Rows of
+    a shard are in the order of a hash.
     """
     names = docs.columns
     keyed = docs.select(
@@ -225,14 +227,15 @@ def draw(docs: DataFrame, **params) -> DataFrame:
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "source", "size", "n")]
     drawn = rows.alias("r").join(plan.alias("p"), same).select("r.*", F.explode("p.draws").alias("x"))
     place = F.xxhash64(F.lit(params.get("seed", 0)), "x.pass", "doc_id")
-    head = F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (F.col("x.words") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")), 0)
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("x.words").cast("int")), " ")
     return (
         drawn.select(
             F.col("x.shard").alias("shard"),
             place.alias("place"),
             F.col("x.words").alias("taken"),
-            "_row",
-            F.when(F.col("x.words") < F.col("size"), head).otherwise(F.col("text")).alias("_text"),
+            F.col("x.pass").alias("pass"),
+            *[F.col(f"_row.`{c}`").alias(f"doc_{c}" if c in ("shard", "place", "taken", "pass") else c) for c in names if c != "text"],
+            F.when(F.col("x.words") < F.col("size"), head).otherwise(F.col("text")).alias("text"),
         )
         .repartition("shard", F.pmod("place", F.lit(16)))
         .sortWithinPartitions("shard", "place")

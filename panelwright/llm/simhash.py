@@ -208,12 +208,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id), fp and component_id, one row a row of docs."""
+    """The kept columns (doc_id is one), fp, root (the component's least fp) and component_id, one row a row of docs."""
     keep = keep or ["doc_id"]
     marked = cut(add_fingerprint(docs, keep), "prints")
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     stars = components(links(prints.select("fp")))
     rooted = prints.join(stars, prints["fp"] == stars["u"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = rooted.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select(*keep, "fp", "component_id")
+    of = rooted.select("fp", "root").join(lows, "root").select("fp", "root", "component_id")
+    return marked.join(of, "fp").select(*keep, "fp", "root", "component_id")
