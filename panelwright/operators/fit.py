@@ -21,10 +21,10 @@ def coef_table(names: list[str], b: np.ndarray, v: np.ndarray, kind: str = "mg",
     """Rows (term, estimate, std_error, statistic, p_value, conf_low, conf_high, type)."""
     z = 1.96 if level == 0.95 else normal_quantile(0.5 + level / 2)
     rows = []
-    for name, est, var in zip(names, b, np.diag(v), strict=True):
+    for name, est, var in zip(names, np.asarray(b, float).tolist(), np.diag(v).tolist(), strict=True):
         se = math.sqrt(max(var, 0.0)) if not math.isnan(var) else math.nan
         t = est / se if se > 0 else math.nan
-        rows.append((name, float(est), se, float(t), two_sided(t) if not math.isnan(t) else math.nan, est - z * se, est + z * se, kind))
+        rows.append((name, est, se, t, two_sided(t) if not math.isnan(t) else math.nan, est - z * se, est + z * se, kind))
     return rows
 
 
