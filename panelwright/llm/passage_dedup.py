@@ -32,8 +32,8 @@ from .repeats import Unit, groups_of, passages, remove_spans, run_rows
 
 LENGTH = 50
 GRAM = 16
-HOT = 20000
-SHARD_BYTES = 6 << 20
+HOT = 4000
+SHARD_BYTES = 2 << 20
 
 
 def earliest(bodies: pa.Array, lows: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:

@@ -32,8 +32,8 @@ from .repeats import Unit, groups_of, passages, remove_spans, run_rows
 
 LENGTH = 200
 GRAM = 48
-HOT = 20000
-SHARD_BYTES = 6 << 20
+HOT = 4000
+SHARD_BYTES = 2 << 20
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
