@@ -105,7 +105,7 @@ def _filter_of(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def _passing(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h & np.uint64(FILTER_BITS - 1)
+    bit = h & np.uint64(8 * len(bitmap) - 1)
     return ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1) > 0
 
 

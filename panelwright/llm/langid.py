@@ -178,7 +178,7 @@ def predict(
             yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
 
     kinds = [f.dataType.simpleString() for f in df.schema] + ["string", "double", "double"]
-    src = df.select(df[text].alias("_text"), *[df[c].alias(f"c{i}") for i, c in enumerate(kept)])
+    src = df.select(df[text].alias("_text"), *[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)])
     out = src.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
     return out.toDF(*kept, *names_out)
 

@@ -66,7 +66,7 @@ def mark_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
         .agg(F.collect_set("at").alias("_bad"))
     )
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), *text_key(docs["text"]))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), *text_key(docs["text"]))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_id", "_k1", "_k2")]
     return (
         rows.alias("d")

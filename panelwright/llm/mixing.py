@@ -215,7 +215,7 @@ def draw(docs: DataFrame, **params) -> DataFrame:
     """
     names = docs.columns
     keyed = docs.select(
-        F.struct(*[docs[c] for c in names]).alias("_row"),
+        F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"),
         docs["doc_id"].alias("doc_id"),
         docs["text"].alias("text"),
         docs["source"].alias("source"),
