@@ -24,11 +24,13 @@ def fit(panel: Panel, formula: str, model: str = "cce", csa: str | None = "~ .",
 
     csa: variables whose averages over units are added; all by default, and
     with model mg too, unless it is None. params: the other fields of
-    ModelSpec. weights: edges (unit_i, unit_j, w) where csa_from is spatial.
+    ModelSpec; absorb may be written as ``~ a + b``. weights: edges (unit_i, unit_j, w) where csa_from is spatial.
     """
     if model not in MODELS:
         raise ValueError(f"model is one of {', '.join(MODELS)}")
     options = {k: params.pop(k) for k in ("by",) if k in params}
+    if isinstance(params.get("absorb"), str):
+        params["absorb"] = tuple(x.strip() for x in params["absorb"].replace("~", "").split("+"))
     spec = parse(formula, csa, model=model, options=options, **params)
     if spec.correction not in (None, "jackknife", "half_panel"):
         raise ValueError(f"correction {spec.correction!r} is not implemented")

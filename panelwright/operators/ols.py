@@ -118,3 +118,28 @@ def pooled_inverse_variance(bs: list, vs: list) -> tuple[np.ndarray, np.ndarray]
     inv = np.linalg.pinv(np.array(vs), rcond=RANK_TOL, hermitian=True)
     v = np.linalg.pinv(inv.sum(axis=0), rcond=RANK_TOL, hermitian=True)
     return v @ np.einsum("bij,bj->i", inv, np.array(bs)), v
+
+
+def delta_method(g, b, v, step: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """g(b) and its variance J V J', with derivatives by central differences."""
+    b = np.asarray(b, float)
+    value = np.atleast_1d(g(b))
+    sides = [(np.atleast_1d(g(b + step * e)) - np.atleast_1d(g(b - step * e))) / (2 * step) for e in np.eye(len(b))]
+    jac = np.stack(sides, axis=1)
+    return value, jac @ np.asarray(v, float) @ jac.T
+
+
+def spread_around(bs, center) -> np.ndarray:
+    """Cross products of unit coefficients around a pooled one, over N squared."""
+    gap = np.asarray(bs, float) - np.asarray(center, float)
+    return gap.T @ gap / len(gap) ** 2
+
+
+def partial_out(df: DataFrame, keys: list[str], columns: list[str], on: list[str], intercept: bool = True) -> DataFrame:
+    """df's complete rows with each column replaced by what regressions on ``on`` by group leave of it."""
+    rows = df.dropna(subset=[*columns, *on])
+    for c in columns:
+        fits = solve(gram(rows, keys, c, on), keys, intercept).select(*keys, F.col("b").alias("_b"))
+        fitted = sum((F.col(x).cast("double") * F.get("_b", F.lit(i + intercept)) for i, x in enumerate(on)), F.get("_b", F.lit(0)) if intercept else F.lit(0.0))
+        rows = rows.join(fits, keys).withColumn(f"_r_{c}", F.col(c) - fitted).drop("_b")
+    return rows.select(*[F.col(f"_r_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

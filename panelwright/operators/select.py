@@ -44,6 +44,13 @@ def information_criteria(fit, reference=None) -> dict:
     return out
 
 
+def averages_rank(fit) -> tuple[int, int]:
+    """Rank of the table of averages and its number of columns; a smaller rank means that some average says nothing new."""
+    at = [c for c, n in zip(fit.columns, [x for x in fit.names if x != "(Intercept)"], strict=True) if n.startswith("~")]
+    table = fit.design.select(fit.panel.time, *at).distinct().dropna().toPandas()[at].to_numpy(float)
+    return (int(np.linalg.matrix_rank(table)) if len(table) else 0), len(at)
+
+
 def rank_condition(fit, criterion: str = "er") -> dict:
     """m: factors in y by its eigenvalues; g: rank of the table of averages; rc: whether g reaches m."""
     from .depend import time_gram
@@ -60,7 +67,5 @@ def rank_condition(fit, criterion: str = "er") -> dict:
     values = np.linalg.eigvalsh(time_gram(d.join(full, p.time), p.unit, p.time, "_v", times))[::-1][: min(n, len(times))]
     k_max = min(n, len(times)) // 2
     m = (eigenvalue_ratio if criterion == "er" else growth_ratio)(np.maximum(values, 0), k_max)
-    at = [fit.columns[i] for i, name in enumerate([x for x in fit.names if x != "(Intercept)"]) if name.startswith("~")]
-    table = fit.design.select(p.time, *at).distinct().dropna().toPandas()[at].to_numpy(float)
-    g = int(np.linalg.matrix_rank(table)) if len(table) >= 3 else 0
+    g, _ = averages_rank(fit)
     return {"m": m, "g": g, "rc": int(g >= m)}

@@ -121,6 +121,7 @@ SELECT unit, t, round(v, 6) AS csa_y, round(lag(v) OVER {W}, 6) AS csa_y_L1 FROM
     "csdl_long_run": f"WITH {ols('f', _csa(_lags(A_LAG, 'lag(dx) OVER w AS dx1'), ['y', 'x']), 'dy', ['x', 'dx', 'dx1', 'csa_y', 'csa_x'])} "
     + coef("f", {"x": "b_1"}, "lr"),
     "residuals": f"WITH {ols('f', A, 'y', ['x'])} SELECT unit, t, round(b_0 + b_1 * x, 6) AS fitted, round(y - b_0 - b_1 * x, 6) AS resid FROM ({A}) JOIN f USING (unit)",
+    "partialled_out": f"WITH {ols('f', A, 'y', ['x', 'z'])} SELECT unit, t, round(y - b_0 - b_1 * x - b_2 * z, 6) AS y FROM ({A}) JOIN f USING (unit)",
     "unit_stats": f"WITH {ols('f', A, 'y', ['x'])} SELECT unit, CAST(n AS BIGINT) AS n, CAST(n - 2 AS BIGINT) AS df_resid, round(s2, 6) AS sigma2, "
     f"round(1 - ssr / tss, 6) AS r2, n IS NULL AS dropped FROM (SELECT DISTINCT unit FROM ({A})) LEFT JOIN f USING (unit)",
     "predict_mg": f"WITH {ols('f', A, 'y', ['x'])}, m AS (SELECT avg(b_0) AS a, avg(b_1) AS b FROM f) SELECT unit, t, round(a + b * x, 6) AS prediction FROM ({A}), m",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import breaks, coint, depend, estimators, granger, homogeneity, resample, rolling, select, unitroot, workflow
 from .operators import transforms as tr
 from .operators.ife import loadings
+from .operators.ols import partial_out
 from .sources.panel import Panel, simulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,6 +425,18 @@ def recommended_model(spark, d):
     return spark.createDataFrame([(r["recommended"], r["lags"], r["call"])], "model string, lags long, call string")
 
 
+@query
+def partialled_out(spark, d):
+    p = panel_a(spark, d)
+    return rounded(partial_out(p.df, ["unit"], ["y"], ["x", "z"]).select("unit", "t", "y"))
+
+
+@query
+def averages_rank(spark, d):
+    r, k = select.averages_rank(estimators.fit(panel_a(spark, d), "y ~ x", "cce", csa_lags=1))
+    return spark.createDataFrame([(r, k)], "rank long, n_columns long")
+
+
 @query
 def simulated_dynamic_cce(spark, d):
     """Recovery on a simulated design; it reads no table."""

@@ -71,8 +71,15 @@ class Panel:
         cells = self.df.select(self.unit).distinct().crossJoin(F.broadcast(self.periods()))
         return cells.join(self.df.select(self.unit, self.time, *columns), [self.unit, self.time], "left")
 
-    def matrix(self, column: str) -> DataFrame:
-        """One row a unit: its values on the grid of times as an array. Periods and units without any value are left out."""
+    def matrix(self, column: str, align: str = "calendar") -> DataFrame:
+        """One row a unit: its values as an array. Periods and units without any value are left out.
+
+        calendar: on the grid of times, NULL where there is none; left: the
+        unit's own values one after the other.
+        """
+        if align == "left":
+            own = F.array_sort(F.collect_list(F.struct(F.col(self.time).alias("t"), F.col(column).cast("double").alias("v"))))
+            return self.df.filter(F.col(column).isNotNull()).groupBy(self.unit).agg(F.transform(own, lambda c: c["v"]).alias("row"))
         seen = self.with_df(self.df.filter(F.col(column).isNotNull()).select(self.unit, self.time, column))
         cell = F.struct("pos", F.col(column).cast("double").alias("v"))
         return seen.grid([column]).groupBy(self.unit).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("row"))
@@ -83,6 +90,13 @@ def read(spark: SparkSession, path: str, unit: str, time: str, source: str = "pa
     return Panel.of(spark.read.format(source).options(**options).load(path), unit, time)
 
 
+def from_matrix(spark: SparkSession, rows, unit: str = "unit", time: str = "time", column: str = "y") -> Panel:
+    """A panel from an N x T array, NaN for missing."""
+    cells = [(i, t, float(v)) for i, row in enumerate(rows) for t, v in enumerate(row)]
+    p = Panel.of(spark.createDataFrame(cells, f"{unit} long, {time} long, {column} double"), unit, time, check=False)
+    return p.with_df(p.df.dropna())
+
+
 def simulate(spark: SparkSession, n_units: int = 30, n_periods: int = 50, seed: int = 1) -> Panel:
     """y = a_i + b1_i y(-1) + b2_i x + g_i f + e with an AR(1) factor, b1 about .5 and b2 about 1.
 

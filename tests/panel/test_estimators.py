@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import breaks, coint, depend, estimators, granger, homogeneity, resample, rolling, unitroot, workflow
+from panelwright.operators import breaks, coint, depend, estimators, granger, homogeneity, resample, rolling, select, unitroot, workflow
 from panelwright.operators.fit import CONST
 from panelwright.sources.panel import Panel, simulate
 
@@ -121,7 +121,7 @@ def test_corrections(sim):
 
 
 def test_absorbing_periods_drops_dead_averages(sim):
-    f = estimators.fit(sim[0], "y ~ x", "cce", absorb=("time",))
+    f = estimators.fit(sim[0], "y ~ x", "cce", absorb="~ time")
     assert f.csa == [] and np.isfinite(f["x"])
 
 
@@ -269,3 +269,22 @@ def test_streaming_gram(spark, sim, tmp_path):
     a = {r.unit: r for r in spark.table("grams").collect()}
     for r in gram(sim[0].df, ["unit"], "y", ["x"]).collect():
         assert a[r.unit].n == r.n and np.allclose(a[r.unit].c, r.c)
+
+
+def test_rank_of_averages(sim):
+    p = sim[0].with_columns({"x2": 2 * F.col("x")})
+    assert select.averages_rank(estimators.fit(p, "y ~ x", "cce")) == (2, 2)
+    assert select.averages_rank(estimators.fit(p, "y ~ x", "cce", csa="~ y + x + x2")) == (2, 3)
+    assert select.rank_condition(estimators.fit(p, "y ~ x", "mg", csa=None)) == {"m": 0, "g": 0, "rc": 1}
+
+
+@pytest.mark.parametrize("kind", ["cluster", "spatial"])
+def test_other_averages(spark, sim, kind):
+    p = sim[0].with_columns({"g": F.col("unit") % 3})
+    if kind == "cluster":
+        f = estimators.fit(p, "y ~ x", "cce", csa_from="cluster", by="g")
+    else:
+        u = p.df.select("unit").distinct()
+        edges = u.toDF("unit_i").crossJoin(u.toDF("unit_j")).filter("unit_i <> unit_j").withColumn("w", F.lit(1.0))
+        f = estimators.fit(p, "y ~ x", "cce", csa_from="spatial", weights=edges)
+    assert np.isfinite(f["x"]) and f.summary_row()["n_units"] == 15

@@ -8,10 +8,10 @@ import pytest
 from panelwright.functions.tails import bracket_p, chi2_sf, normal_cdf, two_sided
 from panelwright.operators import transforms as tr
 from panelwright.operators.breaks import sup_wald_cv, sup_wald_p
-from panelwright.operators.ols import pooled_inverse_variance, solve_arrays
+from panelwright.operators.ols import delta_method, partial_out, pooled_inverse_variance, solve_arrays, spread_around
 from panelwright.operators.select import eigenvalue_ratio, growth_ratio
 from panelwright.plans.formula import classify, parse
-from panelwright.sources.panel import Panel
+from panelwright.sources.panel import Panel, from_matrix, read
 
 
 def panel(spark, rows, schema="unit long, t long, y double"):
@@ -187,3 +187,39 @@ def test_singular_systems():
     z = np.column_stack([np.ones(30), x[:, :2]])
     assert np.allclose(fitted, z @ np.linalg.lstsq(z, y, rcond=None)[0], atol=1e-6)
     assert math.isnan(solve_arrays(np.array([2.0]), np.zeros((1, 2)), np.ones((1, 3)))["sigma2"][0])
+
+
+def test_delta_method_of_a_ratio():
+    value, var = delta_method(lambda b: b[0] / b[1], [3, 2], [[0.1, 0.01], [0.01, 0.05]])
+    assert value[0] == pytest.approx(1.5) and var[0, 0] == pytest.approx(0.045625)
+
+
+def test_spreads():
+    assert spread_around([[1.0], [2.0], [3.0]], [2.0])[0, 0] == pytest.approx(2 / 9)
+    b = np.array([[1, 2], [3, 4], [5, 6]], float)
+    assert np.allclose(spread_around(b, b.mean(0)), 8 / 9)
+
+
+def test_partial_out(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i // 20, *map(float, r)) for i, r in enumerate(a)], "unit long, y double, x double, z double")
+    got = np.array([r[0] for r in partial_out(df, ["unit"], ["y"], ["x", "z"]).orderBy("unit", "x").select("y").collect()])
+    want = []
+    for u in (a[:20], a[20:]):
+        u = u[np.argsort(u[:, 1])]
+        z = np.column_stack([np.ones(20), u[:, 1:]])
+        want += list(u[:, 0] - z @ np.linalg.lstsq(z, u[:, 0], rcond=None)[0])
+    assert np.allclose(got, want)
+
+
+def test_matrices(spark):
+    p = from_matrix(spark, [[1.0, float("nan"), 3.0], [4.0, 5.0, float("nan")]])
+    assert {r.unit: r.row for r in p.matrix("y").collect()} == {0: [1, None, 3], 1: [4, 5, None]}
+    assert {r.unit: r.row for r in p.matrix("y", "left").collect()} == {0: [1, 3], 1: [4, 5]}
+
+
+def test_read(spark, tmp_path):
+    balanced(spark, 2, 3).df.write.csv(str(tmp_path / "p"), header=True)
+    p = read(spark, str(tmp_path / "p"), "unit", "t", "csv", header=True, inferSchema=True)
+    assert p.balance().first().n_units == 2
