@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A multiplicative generator modulo a prime; products stay below 2**63.
@@ -37,3 +37,14 @@ def sign(*parts: Column, seed: int = 0) -> Column:
 
 def sign_sql(*parts: str, seed: int = 0) -> str:
     return f"CASE WHEN (({hashed_sql(*parts, seed=seed)}) // 1024) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+
+
+def draw_counts(units: DataFrame, unit: str, reps: int, seed: int = 0) -> DataFrame:
+    """rep, place and the columns of units: rows drawn with replacement, as many as there are.
+
+    It has reps rows a unit; sums over it are made by Spark.
+    """
+    ranked = units.withColumn("_i", F.row_number().over(Window.orderBy(unit)) - 1)
+    n = ranked.count()
+    draws = units.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
+    return draws.withColumn("_i", hashed(F.col("rep"), F.col("place"), seed=seed) % n).join(ranked, "_i").drop("_i")

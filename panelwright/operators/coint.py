@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_counts
 from ..functions.tails import bracket_p, normal_cdf
 from ..plans.formula import parse
 from ..sources.panel import Panel
@@ -57,18 +58,13 @@ def cointegration_test(panel: Panel, formula: str, lags: int = 1, tests: list[st
     stats = westerlund_aggregate(units)
     p = {t: bracket_p(stats[t], WESTERLUND_CV[t][2], WESTERLUND_CV[t][1], WESTERLUND_CV[t][0]) for t in names}
     if bootstrap:
-        every = panel.df.select(panel.unit).distinct().join(units, panel.unit, "left").orderBy(panel.unit).toPandas()
-        n = len(every)
-        got = every["alpha"].notna().to_numpy()
-        a, se, size = (np.nan_to_num(every[c].to_numpy(float)) for c in ("alpha", "se", "n"))
-        tstat = np.where(got, a / np.where(se > 0, se, 1), 0.0)
-        draws = np.random.default_rng(seed).integers(0, n, (bootstrap, n))
-        m = got[draws].sum(axis=1)
-        keep = m > 0
-        m = m[keep]
-        draws = draws[keep]
-        boot = {"Gt": tstat[draws].sum(1) / m, "Ga": (size * a)[draws].sum(1) / m, "Pt": a[draws].sum(1) / np.sqrt((se**2)[draws].sum(1))}
-        boot["Pa"] = boot["Ga"]
+        every = panel.df.select(panel.unit).distinct().join(units, panel.unit, "left")
+        ok = F.col("alpha").isNotNull()
+        sums = draw_counts(every, panel.unit, bootstrap, seed).groupBy("rep").agg(
+            F.count("alpha").alias("m"), F.sum(F.col("alpha") / F.col("se")), F.sum(F.col("n") * F.col("alpha")), F.sum("alpha"), F.sum(F.when(ok, F.col("se") ** 2))
+        )
+        m, ts, na, a, v = np.array([tuple(r)[1:] for r in sums.filter("m > 0").collect()], float).T  # a row a draw
+        boot = {"Gt": ts / m, "Ga": na / m, "Pt": a / np.sqrt(v), "Pa": na / m}
         p = {t: float(min(1.0, 2 * min((boot[t] <= stats[t]).mean(), (boot[t] >= stats[t]).mean()))) for t in names}
     units.unpersist()
     return panel.df.sparkSession.createDataFrame([(t, stats[t], p[t]) for t in WESTERLUND_CV if t in names], "test string, statistic double, p_value double")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import sign
+from ..functions.draws import draw_counts, sign
 from ..functions.tails import normal_quantile, two_sided
 
 TESTS = ("pesaran", "cdw", "cdwplus", "pea", "cdstar")
@@ -144,15 +144,14 @@ def exponent_residual(df: DataFrame, unit: str, time: str, value: str, tuning: f
     quad = 2 * (pairs.agg(F.sum("rho")).first()[0] or 0.0)
     if quad <= 0:
         return {"alpha": 0.5, "se": None, "low": None, "high": None}
-    units = sorted(r[0] for r in df.select(unit).distinct().collect())
-    at = {u: i for i, u in enumerate(units)}
-    rng = np.random.default_rng(seed)
-    counts = np.array([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(reps)], float)
-    same = (counts * (counts - 1)).sum(axis=1) * (1.0 if cut < 1 else 0.0)
-    # 2 * sum of c_i c_j rho over pairs: the pairs stay rows, the draws are a few arrays.
-    rows = pairs.select("i", "j", "rho").toPandas()
-    i, j, rho = rows["i"].map(at).to_numpy(), rows["j"].map(at).to_numpy(), rows["rho"].to_numpy()
-    draws = same + 2 * np.array([(c[i] * c[j] * rho).sum() for c in counts])
+    counts = draw_counts(df.select(unit).distinct(), unit, reps, seed).groupBy("rep", F.col(unit).alias("u")).agg(F.count("*").alias("c")).persist()
+    # A unit drawn c times makes c(c - 1) pairs with itself, of correlation one.
+    same = counts.groupBy("rep").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+    ci, cj = (counts.select("rep", F.col("u").alias(x), F.col("c").alias(f"c{x}")) for x in ("i", "j"))
+    sums = pairs.join(ci, "i").join(cj, ["rep", "j"]).groupBy("rep").agg(F.sum(F.col("ci") * F.col("cj") * F.col("rho")).alias("s"))
+    rows = same.join(sums, "rep", "left").select(F.col("same") * (1.0 if cut < 1 else 0.0) + 2 * F.coalesce("s", F.lit(0.0))).collect()  # a row a draw
+    counts.unpersist()
+    draws = np.array([r[0] for r in rows])
     alphas = np.where(draws > 0, np.log(np.maximum(draws, 1e-300)) / (2 * math.log(n)), 0.5)
     low, high = np.quantile(alphas, [0.025, 0.975])
     return {"alpha": math.log(quad) / (2 * math.log(n)), "se": float(alphas.std(ddof=1)), "low": float(low), "high": float(high)}

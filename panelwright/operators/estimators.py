@@ -14,7 +14,7 @@ from ..plans.formula import ModelSpec, Term, classify, parse
 from ..sources.panel import Panel
 from . import transforms as tr
 from .fit import CONST, TREND, PanelFit
-from .ols import gram, pooled_inverse_variance, solve
+from .ols import gram, pooled_inverse_variance, solve, weighted_sums
 
 MODELS = ("mg", "cce", "dynamic_cce", "rcce", "ccep", "amg", "ife", "csdl", "csardl", "pmg")
 
@@ -177,10 +177,8 @@ def fit_spec(panel: Panel, spec: ModelSpec, weights: DataFrame | None = None) ->
         if mean is not None:
             result.estimate = 2 * b - mean
     if spec.model == "ccep":
-        rows = units.select("b", "v").toPandas()  # a row a unit
-        bs = [np.array(x)[:kept] for x in rows["b"]]
-        vs = [np.array(x).reshape(len(names), len(names))[:kept, :kept] for x in rows["v"]]
-        result.estimate, result.variance = pooled_inverse_variance(bs, vs)
+        _, w, wb, _ = weighted_sums(units, list(range(kept)), len(names))
+        result.estimate, result.variance = pooled_inverse_variance(w, wb)
     if spec.model in ("csardl", "pmg"):
         result.extra = long_run_rows(result, pooled=spec.model == "pmg")
     if spec.model == "csdl":

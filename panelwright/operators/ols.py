@@ -113,11 +113,35 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str], intercept: bool =
     return solve(gram(df, keys, y, xs).filter(enough), keys, intercept)
 
 
-def pooled_inverse_variance(bs: list, vs: list) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients weighted by their inverse variances, and the variance of that."""
-    inv = np.linalg.pinv(np.array(vs), rcond=RANK_TOL, hermitian=True)
-    v = np.linalg.pinv(inv.sum(axis=0), rcond=RANK_TOL, hermitian=True)
-    return v @ np.einsum("bij,bj->i", inv, np.array(bs)), v
+def weighted_sums(units: DataFrame, at: list[int], k: int) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """n, sum of W, sum of W b and sum of b'W b over units, W the inverse variance of the coefficients ``at`` of k.
+
+    Tasks sum their own units; a row a batch comes to the driver.
+    """
+    m = len(at)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            b = np.stack(pdf["b"])[:, at]
+            v = np.stack(pdf["v"]).reshape(len(pdf), k, k)[:, at][:, :, at]
+            w = np.linalg.pinv(v, rcond=RANK_TOL, hermitian=True)
+            wb = np.einsum("bij,bj->bi", w, b)
+            sums = np.concatenate([[len(pdf)], w.sum(axis=0).ravel(), wb.sum(axis=0), [np.einsum("bi,bi->", b, wb)]])
+            yield pd.DataFrame({"s": [sums]})
+
+    rows = units.filter("sigma2 > 0").select("b", "v").mapInPandas(run, "s array<double>").collect()
+    if not rows:
+        raise ValueError("no unit has a variance")
+    s = np.sum([r[0] for r in rows], axis=0)
+    return int(s[0]), s[1 : 1 + m * m].reshape(m, m), s[1 + m * m : 1 + m * m + m], float(s[-1])
+
+
+def pooled_inverse_variance(w: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients weighted by their inverse variances, and the variance of that, from the sums of W and W b."""
+    v = np.linalg.pinv(w, rcond=RANK_TOL, hermitian=True)
+    return v @ wb, v
 
 
 def delta_method(g, b, v, step: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:

@@ -6,24 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import hashed, sign
+from ..functions.draws import draw_counts, sign
 from .fit import CONST, PanelFit
 
 
-def draw_counts(units: DataFrame, unit: str, reps: int, seed: int = 0) -> DataFrame:
-    """rep, place, unit: units drawn with replacement, as many as there are, by integer hashes.
-
-    It has reps rows a unit; sums over it are made by Spark.
-    """
-    from pyspark.sql import Window
-
-    ranked = units.select(unit, "b", (F.row_number().over(Window.orderBy(unit)) - 1).alias("_i"))
-    n = ranked.count()
-    spark = units.sparkSession
-    draws = spark.range(1, reps + 1).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
-    return draws.withColumn("_i", hashed(F.col("rep"), F.col("place"), seed=seed) % n).join(ranked, "_i")
-
-
 def bootstrap(fit: PanelFit, kind: str = "cross_section", reps: int = 500, seed: int = 0) -> DataFrame:
     """term, estimate, std_error, low, high.
 

@@ -135,7 +135,8 @@ def test_formula():
 
 
 def test_pooling():
-    b, v = pooled_inverse_variance([[1.0], [2.0]], [[[1.0]], [[4.0]]])
+    # Long-run 1 and 2 with variances 1 and 4.
+    b, v = pooled_inverse_variance(np.array([[1 + 1 / 4]]), np.array([1 + 2 / 4]))
     assert b[0] == pytest.approx(1.2) and v[0, 0] == pytest.approx(0.8)
 
 
