@@ -170,7 +170,6 @@ def fit_spec(panel: Panel, spec: ModelSpec, weights: DataFrame | None = None) ->
     units = solve(held, [u], own.constant).persist()
     b, v = mean_group(units, kept)
     result = PanelFit(spec, panel, design, y, cols, names, kept, units, b, v, csa)
-    result.info["n_dropped"] = design.select(u).distinct().count() - units.count()
     if own.correction and spec.model in ("cce", "dynamic_cce"):
         half = half_panel_mean if own.correction == "half_panel" else calendar_half_mean
         mean = half(result, own_panel)

@@ -90,6 +90,10 @@ class PanelFit:
         every = self.panel.df.select(self.panel.unit).distinct()
         return every.join(got, self.panel.unit, "left").withColumn("dropped", F.coalesce("dropped", F.lit(True)))
 
+    def n_dropped(self) -> int:
+        """How many units had too few rows. It scans the panel, so it is not part of a fit."""
+        return self.panel.df.select(self.panel.unit).distinct().count() - self.units.count()
+
     def resid(self) -> DataFrame:
         """unit, time, fitted, resid for the rows that the regressions used."""
         unit, time = self.panel.unit, self.panel.time

@@ -91,7 +91,7 @@ def test_short_units_are_dropped(spark, sim):
     _, pdf = sim
     short = pd.concat([pdf, pdf[(pdf.unit == 1) & (pdf.time <= 2)].assign(unit=99)])
     f = estimators.fit(Panel.of(spark.createDataFrame(short), "unit", "time"), "y ~ x", "mg", csa=None)
-    assert f.info["n_dropped"] == 1
+    assert f.n_dropped() == 1
     assert [r.unit for r in f.unit_stats().filter("dropped").collect()] == [99]
 
 
