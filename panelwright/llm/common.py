@@ -29,13 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Rows that go to Python at once where whole texts do; Spark's default is 10,000.
+TEXT_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, label: str, text_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     The lineage ends there, so that a lost executor costs only the tasks that
-    read the table. The table goes when the application ends.
+    read the table. The table goes when the application ends. text_rows: how
+    many rows go to Python at once meanwhile.
     """
     spark = df.sparkSession
+    if text_rows:
+        before = spark.conf.get(_ROWS)
+        spark.conf.set(_ROWS, str(min(text_rows, int(before)) if int(before) > 0 else text_rows))
+        try:
+            return cut(df, label)
+        finally:
+            spark.conf.set(_ROWS, before)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
