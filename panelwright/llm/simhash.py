@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import cut
+from .common import TEXT_ROWS, cut
 
 WIDTH = 4
 MAX_BITS = 4
@@ -194,10 +194,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = sign(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first, here and below, so that the links of one hub can be split over tasks when they are joined.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.filter("u <> v").distinct(), "large")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(lowest.select("u", F.col("m").alias("v")).unionByName(small).filter("u <> v").distinct(), "small")
         now = sign(edges)
@@ -210,10 +211,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (doc_id is one), fp, root (the component's least fp) and component_id, one row a row of docs."""
     keep = keep or ["doc_id"]
-    marked = cut(add_fingerprint(docs, keep), "prints")
+    marked = cut(add_fingerprint(docs, keep), "prints", TEXT_ROWS)
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     stars = components(links(prints.select("fp")))
-    rooted = prints.join(stars, prints["fp"] == stars["u"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = cut(prints.join(stars, prints["fp"] == stars["u"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    lows = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     of = rooted.select("fp", "root").join(lows, "root").select("fp", "root", "component_id")
     return marked.join(of, "fp").select(*keep, "fp", "root", "component_id")
