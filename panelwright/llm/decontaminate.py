@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import cut, text_key
+from .common import TEXT_ROWS, cut, text_key
 
 WIDTH = 13
 GRAM = 3
@@ -233,7 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     tokens = items.select(F.explode("hashes").alias("h"), "gram")
     grams = sorted(r[0] for r in tokens.select("gram").distinct().collect())  # at most GRAM numbers
     index = cut(prefix_index(items, token_counts(docs, tokens, grams)), "index")
-    found = cut(token_hits(docs, index, grams, width), "hits")
+    found = cut(token_hits(docs, index, grams, width), "hits", TEXT_ROWS)
     hits = found.filter(F.size("hits") > 0).select("doc_id", "_k1", "_k2", F.explode("hits").alias("x"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = hits.join(index, F.col("x.h") == index["h"]).select(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Odd multiplier of the polynomial hash; any fixed odd number does.
 RADIX = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

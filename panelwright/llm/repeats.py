@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import text_key
+from .common import TEXT_ROWS, cut, text_key
 
 
 @dataclass(frozen=True)
@@ -208,4 +208,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._k1") == F.col("s._k1"))
     empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     joined = texts.alias("d").join(by_doc.alias("s"), same, "left").select("d.doc_id", "d.text", F.coalesce("spans", empty).alias("spans"))
-    return joined.mapInArrow(cut_out, f"doc_id {kind}, n long, n_removed long, n_spans long, kept binary")
+    # Written here, so that texts go to Python a few at a time.
+    return cut(joined.mapInArrow(cut_out, f"doc_id {kind}, n long, n_removed long, n_spans long, kept binary"), "kept", TEXT_ROWS)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import cut
+from .common import TEXT_ROWS, cut
 from .repeats import Unit, groups_of, passages, remove_spans, run_rows
 
 LENGTH = 200
@@ -89,9 +89,10 @@ def _shards(length: int):
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, _k1, a, b: spans of bytes that occur twice or more; they may overlap."""
     unit = Unit(False, length, gram)
-    rows = cut(run_rows(docs, unit), "runs")
+    rows = cut(run_rows(docs, unit), "runs", TEXT_ROWS)
     anchors = rows.groupBy("g").agg(F.count("*").alias("n"), (F.min("h") != F.max("h")).alias("open")).filter("n > 1")
-    rows = cut(rows.join(anchors.select("g", "open"), "g"), "shared")
+    # Written first, so that neither side of the join has to stand whole in a task and hot anchors can be split.
+    rows = cut(rows.join(cut(anchors.select("g", "open"), "anchors"), "g"), "shared")
     sure = rows.filter("not open").select("doc_id", "_k1", F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + length).alias("b"))
     rest = rows.filter("open")
     kinds = rest.groupBy("g", "h").agg(
@@ -99,11 +100,12 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     )
     kinds = cut(kinds.select("g", "h", "weight", "r.*"), "kinds")
     crowded = kinds.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("g", F.lit(True).alias("hot"))
+    crowded = cut(crowded, "crowded")
     wanted = kinds.join(crowded, "g", "left").select(
         "doc_id", "_k1", "first", "count", "g", "h", F.least("weight", F.lit(2)).alias("weight"), F.coalesce("hot", F.lit(False)).alias("hot")
     )
     bodies = passages(docs, wanted, unit).repartition("g", "salt").sortWithinPartitions("g", "salt")
-    found = cut(bodies.mapInArrow(_shards(length), "g long, h long, x int, y int"), "found")
+    found = cut(bodies.mapInArrow(_shards(length), "g long, h long, x int, y int"), "found", TEXT_ROWS)
     mixed = rest.join(found, ["g", "h"]).select(
         "doc_id", "_k1", (F.col("first") + F.col("x")).alias("a"), (F.col("first") + F.col("y")).alias("b")
     )
