@@ -13,7 +13,8 @@ Tasks pass over the documents with a Bloom filter of ``FILTER_BITS`` bits,
 whatever the size of the benchmark: its false positives are dropped by the
 join. Defined cases: a null or empty text has no words; an item without words
 has no window; a null item_id counts as an item named by the empty string;
-repeated items and documents are as if alone; very long texts are read whole;
+repeated items and documents are as if alone; an item_id may stand
+for many texts, each with its own windows; very long texts are read whole;
 an empty table of either side gives no hit. Other columns are ignored.
 """
 
@@ -64,12 +65,12 @@ def words_of(text: str | None) -> list[str]:
 
 
 def item_tokens(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, the item's words, and for each start of a token its hash; length of windows and tokens."""
+    """item_id, text keys, the item's words, and for each start of a token its hash; length of windows and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"item_id": [], "words": [], "hashes": [], "size": [], "gram": []}
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = {"item_id": [], "_k1": [], "_k2": [], "words": [], "hashes": [], "size": [], "gram": []}
+            for item, text, k1, k2 in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 words = words_of(text)
                 if not words:
                     continue
@@ -77,6 +78,8 @@ def item_tokens(items: DataFrame, width: int = WIDTH) -> DataFrame:
                 gram = min(GRAM, len(words))
                 h, _ = _tokens(nt.Chunk(slice(0, 1), data, offs), gram)
                 rows["item_id"].append(item)
+                rows["_k1"].append(k1)
+                rows["_k2"].append(k2)
                 rows["words"].append(words)
                 rows["hashes"].append(nt.as_long(h).tolist())
                 rows["size"].append(min(width, len(words)))
@@ -84,6 +87,8 @@ def item_tokens(items: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows["item_id"], pa.string()),
+                    pa.array(rows["_k1"], pa.int64()),
+                    pa.array(rows["_k2"], pa.int64()),
                     pa.array(rows["words"], pa.list_(pa.string())),
                     pa.array(rows["hashes"], pa.list_(pa.int64())),
                     pa.array(rows["size"], pa.int32()),
@@ -93,7 +98,8 @@ def item_tokens(items: DataFrame, width: int = WIDTH) -> DataFrame:
             )
 
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").distinct()
-    return named.mapInArrow(run, "item_id string, words array<string>, hashes array<long>, size int, gram int")
+    keyed = named.select("*", *text_key(F.col("text")))
+    return keyed.mapInArrow(run, "item_id string, _k1 long, _k2 long, words array<string>, hashes array<long>, size int, gram int")
 
 
 def _filter_of(hashes: DataFrame, column: str) -> np.ndarray:
@@ -143,20 +149,21 @@ def prefix_index(items: DataFrame, counts: DataFrame) -> DataFrame:
     The token h begins at word ``at`` of the words given, and is the rarest of
     the windows that begin at words first to last.
     """
+    own = ["item_id", "_k1", "_k2"]  # an item_id need not have one text only
     token = F.explode(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     ranked = (
-        items.select("item_id", "size", "gram", F.size("words").alias("n_words"), token.alias("t"))
-        .select("item_id", "size", "gram", "n_words", "t.h", "t.i")
+        items.select(*own, "size", "gram", F.size("words").alias("n_words"), token.alias("t"))
+        .select(*own, "size", "gram", "n_words", "t.h", "t.i")
         .join(counts, "h")
     )
     starts = F.sequence(F.greatest(F.lit(0), F.col("i") + F.col("gram") - F.col("size")), F.least("i", F.col("n_words") - F.col("size")))
-    window = ranked.select("item_id", "size", "h", "i", "n", F.explode(starts).alias("start"))
-    chosen = window.groupBy("item_id", "start", "size").agg(F.min(F.struct("n", "h", "i")).alias("c"))
-    runs = chosen.groupBy("item_id", "size", F.col("c.h").alias("h"), F.col("c.i").alias("i")).agg(
+    window = ranked.select(*own, "size", "h", "i", "n", F.explode(starts).alias("start"))
+    chosen = window.groupBy(*own, "start", "size").agg(F.min(F.struct("n", "h", "i")).alias("c"))
+    runs = chosen.groupBy(*own, "size", F.col("c.h").alias("h"), F.col("c.i").alias("i")).agg(
         F.min("start").alias("first"), F.max("start").alias("last")
     )
     base = F.col("first")
-    return runs.join(items.select("item_id", "words", "size"), ["item_id", "size"]).select(
+    return runs.join(items.select(*own, "words", "size"), [*own, "size"]).select(
         "h",
         "item_id",
         (F.col("i") - base).cast("int").alias("at"),

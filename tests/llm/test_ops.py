@@ -257,6 +257,16 @@ def test_contamination(spark, docs, rows):
     same(got, brute.contamination([(r[0], r[1]) for r in rows], items))
 
 
+def test_contamination_by_texts_that_share_a_name(spark):
+    word = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    items = [("a", word("x", 40)), ("a", word("y", 15)), (None, word("z", 13)), (None, word("w", 30)), ("", word("v", 13))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(i, f"before {t} after") for i, (_, t) in enumerate(items)] + [(9, word("x", 40)[60:] + " " + word("w", 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), decontaminate.is_contaminated())
+    same(got, brute.contamination(rows, items))
+
+
 def test_contamination_with_a_full_filter(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(decontaminate, "FILTER_BITS", 64)
     items = [("a", rows[0][1]), ("b", rows[5][1])]
