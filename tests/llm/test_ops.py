@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,24 @@ def test_backoff_is_a_distribution():
     assert a[0] == 0 and rest[0] == 1  # a word's first subword is the attention model's
 
 
+def test_lm_counts_every_triple(docs):
+    with open(attention_lm.VOCABULARY, "rb") as f:
+        packs = attention_lm.pack(docs, F.coalesce(F.col("doc_id") % 3 > 0, F.lit(True)), f.read()).cache()
+    parts = packs.select("pack", "grams", "gram_n", "pieces", "piece_at").collect()
+    keys = [attention_lm.unsqueeze(r.grams, np.int64) for r in parts]
+    n = Counter()
+    for r, k in zip(parts, keys, strict=True):
+        n.update(dict(zip(k.tolist(), attention_lm.unsqueeze(r.gram_n, np.int64).tolist(), strict=True)))
+    full = attention_lm.Backoff(*(np.array(x) for x in zip(*[(k, c) for k, c in n.items() if c], strict=True)))
+    assert len(parts) > 1 and min(n.values()) == 0
+    weights = {r.pack: r.weights for r in attention_lm.pack_weights(packs).collect()}
+    for r in parts:
+        own = attention_lm.triples(attention_lm.unsqueeze(r.piece_at, np.int32), attention_lm.unsqueeze(r.pieces, np.uint16))
+        kind = pa.struct([(x, pa.binary()) for x in ("at", "a", "b")])
+        got = attention_lm._given(own, pa.array([tuple(map(bytes, w)) for w in weights[r.pack]], kind))
+        assert all(np.allclose(x, y, rtol=1e-6) for x, y in zip(got, full(own), strict=True))
+
+
 def test_lm_edges(docs, empty, clashing):
     assert attention_lm.score(empty, F.lit(True)).count() == 0
     assert attention_lm.score(docs, F.lit(False)).filter("n_known = 0 and train_tokens = 0").count() == docs.count()
