@@ -129,6 +129,23 @@ def test_lm_counts_every_triple(docs):
         assert all(np.allclose(x, y, rtol=1e-6) for x, y in zip(got, full(own), strict=True))
 
 
+def test_lm_sample_is_even(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "PACK_BYTES", 1 << 14)
+    monkeypatch.setattr(attention_lm, "FIT_WINDOWS", 4000)
+    # One task, many packs: a mark of its own for each quarter of the subwords, the last in one document.
+    rows = [(i, f"{'abc'[i // 100]} " * 240) for i in range(300)] + [(300, "d " * 24000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    with open(attention_lm.VOCABULARY, "rb") as f:
+        vocabulary = f.read()
+    packs = attention_lm.cut(attention_lm.pack(docs, F.lit(True), vocabulary), "packs", 16)
+    assert packs.count() > 4
+    windows = attention_lm._sample(packs)
+    marks = [attention_lm.Subwords(vocabulary)(np.frombuffer(x, np.uint8), np.array([0]), np.array([1]))[1][0] for x in (b"a", b"b", b"c", b"d")]
+    share = [(windows == m).any(axis=1).mean() for m in marks]
+    assert len(windows) == pytest.approx(4000, rel=0.02) and np.allclose(share, 0.25, atol=0.04)
+    assert attention_lm.CLASSES == 96
+
+
 def test_lm_edges(docs, empty, clashing):
     assert attention_lm.score(empty, F.lit(True)).count() == 0
     assert attention_lm.score(docs, F.lit(False)).filter("n_known = 0 and train_tokens = 0").count() == docs.count()
