@@ -39,14 +39,14 @@ FROM marked GROUP BY conv_id
 """
 
 OP9 = r"""
-WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h
+WITH RECURSIVE sized AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS src, source,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(text) AS k,
+         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 8) AS BIGINT) AS h
   FROM documents
-), total AS (SELECT CAST(sum(size) AS BIGINT) AS n, greatest(1, CAST(sum(size) AS BIGINT) // 65536) AS n_blocks FROM sized),
-d AS (SELECT sized.*, h % n_blocks AS block FROM sized, total),
+), total AS (SELECT CAST(sum(size) AS BIGINT) AS n FROM sized),
 ranked AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source
+  SELECT src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY src, source
 ), weighted AS (
   SELECT *, [5, 2, 1][CAST((rank - 1) % 3 + 1 AS INTEGER)] AS weight, 2.0::DOUBLE * source_size AS cap FROM ranked
 ), levels AS (
@@ -54,25 +54,30 @@ ranked AS (
             ((SELECT sum(weight) FROM weighted) - coalesce(sum(weight) OVER o, 0)) AS level
   FROM weighted WINDOW o AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (
-  SELECT source, source_size,
+  SELECT src, source_size, greatest(1, source_size // 65536) AS n_blocks,
          least(cap, coalesce((SELECT max(level) FROM levels WHERE level * weight <= cap) * weight, cap)) AS target
   FROM levels
 ), goals AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS passes,
-         CAST(round(target) AS BIGINT) AS goal FROM targets
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS passes, CAST(round(target) AS BIGINT) AS goal FROM targets
+), d AS (
+  SELECT s.*, h % n_blocks AS block, source_size, target, passes, goal - passes * source_size AS rest FROM sized s JOIN goals USING (src)
 ), blocks AS (
-  SELECT source, block, CAST('0x' || substr(md5('0:' || coalesce(source, 'null') || ':' || block), 1, 8) AS BIGINT) AS turn, sum(size) AS words
-  FROM d GROUP BY source, block
+  SELECT src, block, CAST('0x' || substr(md5('0:' || src || ':' || block), 1, 8) AS BIGINT) AS turn, CAST(sum(size) AS BIGINT) AS words, any_value(rest) AS rest
+  FROM d GROUP BY src, block
 ), placed AS (
-  SELECT source, block, coalesce(sum(words) OVER (PARTITION BY source ORDER BY turn, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM blocks
-), inside AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, block ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d
+  SELECT *, CAST(coalesce(sum(words) OVER (PARTITION BY src ORDER BY turn, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM blocks
+), edge AS (
+  SELECT r, d.src, size, rest - ahead AS left0, row_number() OVER (PARTITION BY d.src ORDER BY size DESC, h, doc_id NULLS FIRST, k NULLS FIRST) AS i
+  FROM d JOIN placed p USING (src, block, rest) WHERE size > 0 AND ahead < rest AND ahead + words > rest
+), walk(src, i, r, took, left_words) AS (
+  SELECT src, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), FALSE, any_value(left0) FROM edge GROUP BY src
+  UNION ALL
+  SELECT e.src, e.i, e.r, e.size <= w.left_words, CASE WHEN e.size <= w.left_words THEN w.left_words - e.size ELSE w.left_words END
+  FROM walk w JOIN edge e ON e.src = w.src AND e.i = w.i + 1
 )
-SELECT i.doc_id, i.size, g.source_size, g.target,
-       CAST(g.passes * i.size + greatest(0, least(i.size, g.goal - g.passes * g.source_size - p.ahead - i.before)) AS BIGINT) AS taken
-FROM inside i JOIN placed p ON i.source IS NOT DISTINCT FROM p.source AND i.block = p.block
-JOIN goals g ON i.source IS NOT DISTINCT FROM g.source
+SELECT d.doc_id, d.size, d.source_size, d.target,
+       CAST(d.size * (d.passes + CASE WHEN ahead + words <= d.rest THEN 1 WHEN w.took THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN placed p USING (src, block) LEFT JOIN walk w ON w.r = d.r
 """
 
 OP10 = r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_lm, chat_format, decontaminate, langid, line_dedup, mixing, passage_dedup, quality, simhash, suffix_dedup
-from .common import table
+from .common import few, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    plan = few(mixing.plan_mix(table(spark, sf_dir, "documents")))
+    taken = F.size("draws") * F.col("size")
+    return plan.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

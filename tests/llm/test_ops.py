@@ -378,44 +378,86 @@ def targets(sizes, share=1.5, most=2.0):
 @pytest.mark.parametrize("block_words", [1 << 16, 200])
 def test_mix(docs, rows, block_words):
     plan = mixing.plan_mix(docs, block_words=block_words).collect()
-    sizes = Counter()
+    sizes, largest = Counter(), {}
     for r in rows:
-        sizes[r[3]] += len(brute.words(r[1]))
+        n = len(brute.words(r[1]))
+        sizes[r[3]] += n
+        largest[r[3]] = max(largest.get(r[3], 0), n)
     want = targets(sizes)
     taken = Counter()
+    assert len(plan) == len(rows)
     for r in plan:
-        got = sum(x.words for x in r.draws)
-        assert 0 <= got <= 2 * r["size"] and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
-        assert len({x["pass"] for x in r.draws}) == len(r.draws)
-        taken[r.source] += got
+        assert 0 <= len(r.draws) <= 2 and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        assert len({x["pass"] for x in r.draws}) == len(r.draws) and (r["size"] > 0 or not r.draws)
+        taken[r.source] += len(r.draws) * r["size"]
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 1
+        assert -max(1, largest[s]) < taken[s] - t <= 1
+        # What was left out would not have fitted, where one block holds the source.
+        out = [r["size"] for r in plan if r.source == s and r["size"] and len(r.draws) < 1 + (t >= sizes[s])]
+        assert block_words == 200 or not out or t - taken[s] < min(out) + 1
     again = mixing.plan_mix(docs.repartition(5), block_words=block_words).collect()
     assert ordered([(r.doc_id, r["size"], str(r.draws)) for r in plan]) == ordered([(r.doc_id, r["size"], str(r.draws)) for r in again])
 
 
-def test_shard_quotas(spark):
-    df = spark.createDataFrame([(1, 37), (2, 100), (3, 1), (4, 0)], "rank int, items long")
-    q = mixing.shard_quotas(df, 3).collect()
+def test_blocks_are_numbered_over_bands(docs, monkeypatch):
+    one = mixing.plan_mix(docs, block_words=50).collect()
+    monkeypatch.setattr(mixing, "BAND", 2)
+    two = mixing.plan_mix(docs, block_words=50).collect()
+    assert ordered([(r.doc_id, r["size"], str(r.draws)) for r in one]) == ordered([(r.doc_id, r["size"], str(r.draws)) for r in two])
+
+
+@pytest.mark.parametrize(("whole", "marked", "drawn"), [(30, 12, 9), (7, 7, 3), (50, 1, 25), (2000, 900, 1000), (20, 15, 12)])
+def test_hypergeometric(spark, whole, marked, drawn):
+    n = 20000
+    found = mixing.hypergeometric(f"{whole}L", f"{marked}L", f"{drawn}L", f"(id + 0.5D) / {n}")
+    got = Counter(r[0] for r in spark.range(n).select(F.expr(found)).collect())
+    ways = math.comb(whole, drawn)
+    for k in range(max(0, drawn + marked - whole), min(marked, drawn) + 1):
+        assert abs(got[k] / n - math.comb(marked, k) * math.comb(whole - marked, drawn - k) / ways) <= 1.01 / n
+    assert sum(got.values()) == n
+
+
+def test_hypergeometric_of_many_items(spark):
+    q = mixing.shard_quotas(spark.createDataFrame([(1, 33_000_000), (2, 60_000_000), (3, 7_000_000)], "rank int, items long"), 1).collect()
+    left = {r["rank"]: r.quota for r in q if r.shard == 0}
+    assert sum(left.values()) == 50_000_000
+    for rank, items in ((1, 33e6), (2, 60e6), (3, 7e6)):
+        spread = math.sqrt(items / 4 * (1 - items / 1e8))
+        assert abs(left[rank] - items / 2) < 6 * spread
+
+
+@pytest.mark.parametrize("sources", [4, 130])
+def test_shard_quotas(spark, sources):
+    items = {r: (37, 100, 1, 0)[r % 4] * (1 + r // 4) for r in range(sources)}
+    q = mixing.shard_quotas(spark.createDataFrame(list(items.items()), "rank int, items long"), 3).collect()
     by_rank, by_shard = Counter(), Counter()
     for r in q:
         by_rank[r["rank"]] += r.quota
         by_shard[r.shard] += r.quota
-    assert by_rank == Counter({1: 37, 2: 100, 3: 1, 4: 0}) and max(by_shard.values()) - min(by_shard.values()) <= 1 and len(by_shard) == 8
-    for rank in (1, 2, 3):
+    assert all(by_rank[k] == n for k, n in items.items()) and max(by_shard.values()) - min(by_shard.values()) <= 1 and len(by_shard) == 8
+    for rank in items:
         own = sorted((r.shard, r.before, r.quota) for r in q if r["rank"] == rank)
         assert all(b == sum(x[2] for x in own[:i]) for i, (_, b, _) in enumerate(own))
 
 
-def test_mix_draws(clashing, docs):
+def test_mix_draws(clashing, docs, rows):
     out = mixing.draw(clashing, block_words=200)
     assert {"shard", "place", "taken", "pass", "doc_shard", "doc_place", "doc_taken"} <= set(out.columns)
-    rows = out.select("doc_id", "taken", "text").collect()
-    assert all(len(brute.words(r.text)) == r.taken for r in rows)
-    assert sum(r.taken for r in rows) == sum(sum(x.words for x in r.draws) for r in mixing.plan_mix(docs, block_words=200).collect())
+    drawn = out.select("doc_id", "taken", "text").collect()
+    # Whole texts, as they are.
+    assert {(r.doc_id, r.text) for r in drawn} <= {(r[0], r[1]) for r in rows}
+    assert all(len(brute.words(r.text)) == r.taken for r in drawn)
+    plan = mixing.plan_mix(docs, block_words=200).collect()
+    assert ordered([(r.doc_id, r.taken) for r in drawn]) == ordered([(r.doc_id, r["size"]) for r in plan for _ in r.draws])
     assert mixing.draw(docs.limit(0)).count() == 0 and mixing.plan_mix(docs.filter("text is null")).filter("size(draws) > 0").count() == 0
 
 
+def test_mix_shuffles_texts_twice(docs):
+    plan = mixing.draw(docs.select("doc_id", "text", "source"))._jdf.queryExecution().executedPlan().toString()
+    text = docs.columns.index("text") and "_1#"
+    assert sum(text in line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "Exchange" in line) <= 2 and "Python" not in plan
+
+
 # --- 10
 
 
