@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,32 +31,45 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-#: Rows that go to Python at once where whole texts do; Spark's default is 10,000.
-TEXT_ROWS = 512
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that go to Python at once, or one row if it is longer; Spark's default is 64 MB.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def cut(df: DataFrame, label: str, text_rows: int | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_BYTES, a bound that the session keeps from here on."""
+    spark = df.sparkSession
+    now = int(spark.conf.get(_BYTES).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     The lineage ends there, so that a lost executor costs only the tasks that
-    read the table. The table goes when the application ends. text_rows: how
-    many rows go to Python at once meanwhile.
+    read the table. The table goes when the application ends, or by drop().
     """
     spark = df.sparkSession
-    if text_rows:
-        before = spark.conf.get(_ROWS)
-        spark.conf.set(_ROWS, str(min(text_rows, int(before)) if int(before) > 0 else text_rows))
-        try:
-            return cut(df, label)
-        finally:
-            spark.conf.set(_ROWS, before)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    _folder(spark, path)[0].deleteOnExit(_folder(spark, path)[1])
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing reads any more: what was made of them must have been written too."""
+    for t in tables:
+        fs, at = _folder(t.sparkSession, t._cut_path)
+        fs.delete(at, True)
 
 
 def few(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import TEXT_ROWS, cut, text_key
+from .common import cut, map_arrow, text_key
 
 WIDTH = 13
 GRAM = 3
@@ -99,7 +99,7 @@ def item_tokens(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
     named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").distinct()
     keyed = named.select("*", *text_key(F.col("text")))
-    return keyed.mapInArrow(run, "item_id string, _k1 long, _k2 long, words array<string>, hashes array<long>, size int, gram int")
+    return map_arrow(keyed, run, "item_id string, _k1 long, _k2 long, words array<string>, hashes array<long>, size int, gram int")
 
 
 def _filter_of(hashes: DataFrame, column: str) -> np.ndarray:
@@ -139,7 +139,7 @@ def token_counts(docs: DataFrame, tokens: DataFrame, grams: list[int]) -> DataFr
         if kept:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return tokens.select("h").distinct().join(counts, "h", "left").select("h", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -202,7 +202,8 @@ def token_hits(docs: DataFrame, index: DataFrame, grams: list[int], width: int =
                     [*ids, counts, pa.array(hits, pa.list_(hit))], names=["doc_id", "_k1", "_k2", "n_words", "hits"]
                 )
 
-    return docs.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(
+    return map_arrow(
+        docs.select("doc_id", *text_key(F.col("text")), "text"),
         run,
         f"doc_id {kind}, _k1 long, _k2 long, n_words long, hits array<struct<h:long,pos:int,base:int,words:string>>",
     )
@@ -240,14 +241,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     tokens = items.select(F.explode("hashes").alias("h"), "gram")
     grams = sorted(r[0] for r in tokens.select("gram").distinct().collect())  # at most GRAM numbers
     index = cut(prefix_index(items, token_counts(docs, tokens, grams)), "index")
-    found = cut(token_hits(docs, index, grams, width), "hits", TEXT_ROWS)
+    found = cut(token_hits(docs, index, grams, width), "hits")
     hits = found.filter(F.size("hits") > 0).select("doc_id", "_k1", "_k2", F.explode("hits").alias("x"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = hits.join(index, F.col("x.h") == index["h"]).select(
         "doc_id", "_k1", "_k2", "item_id", F.col("x.pos").alias("pos"), F.col("x.base").alias("base"),
         F.col("x.words").alias("near"), "at", "last", "size", "words",
     )
-    spans = pairs.mapInArrow(_verified, f"doc_id {kind}, _k1 long, _k2 long, item_id string, a int, b int")
+    spans = map_arrow(pairs, _verified, f"doc_id {kind}, _k1 long, _k2 long, item_id string, a int, b int")
     by_doc = spans.groupBy("doc_id", "_k1", "_k2").agg(
         F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")
     )

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
+from .common import map_arrow
 
 DIM = 1024
 SYMBOLS = 128
@@ -121,7 +122,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", dim: int = DI
             yield pa.RecordBatch.from_pydict({"label": [name], "v": [v.tolist()]})
 
     parts = train.filter(F.col(label).isNotNull()).select(F.col(text), F.col(label).cast("string"))
-    parts = parts.mapInArrow(bundle, "label string, v array<double>")
+    parts = map_arrow(parts, bundle, "label string, v array<double>")
     rows = (
         parts.select("label", F.posexplode("v").alias("i", "x"))
         .groupBy("label", "i")
@@ -179,7 +180,7 @@ def predict(
 
     kinds = [f.dataType.simpleString() for f in df.schema] + ["string", "double", "double"]
     src = df.select(df[text].alias("_text"), *[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)])
-    out = src.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    out = map_arrow(src, run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
     return out.toDF(*kept, *names_out)
 
 

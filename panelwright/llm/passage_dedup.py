@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import TEXT_ROWS, cut
+from .common import cut, map_arrow
 from .fm_index import FMIndex
 from .repeats import Unit, groups_of, passages, remove_spans, run_rows
 
@@ -99,7 +99,7 @@ def _later(length: int):
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, _k1, a, b: spans of words that an earlier document has; they may overlap."""
     unit = Unit(True, length, gram)
-    rows = cut(run_rows(docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), unit), "runs", TEXT_ROWS)
+    rows = cut(run_rows(docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), unit), "runs")
     shared = rows.groupBy("g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("g")
     # Written first, so that neither side of the join has to stand whole in a task and hot anchors can be split.
     rows = cut(rows.join(cut(shared, "anchors"), "g", "left_semi"), "shared")
@@ -112,9 +112,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     )
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bodies = passages(typed, wanted, unit).repartition("g", "salt").sortWithinPartitions("g", "salt")
-    found = cut(bodies.mapInArrow(_shards(length), "g long, h long, base int, m array<long>"), "earliest", TEXT_ROWS)
+    found = cut(map_arrow(bodies, _shards(length), "g long, h long, base int, m array<long>"), "earliest")
     joined = rows.join(found, ["g", "h"]).select("doc_id", "_k1", "first", "base", "m")
-    return joined.mapInArrow(_later(length), "doc_id long, _k1 long, a int, b int")
+    return map_arrow(joined, _later(length), "doc_id long, _k1 long, a int, b int")
 
 
 def dedup_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

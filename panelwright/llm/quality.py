@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
+from .common import map_arrow
 
 #: Fixed value: the symbols that count as markup.
 SYMBOLS = "#*$%&|<>"
@@ -130,8 +131,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and fail_bits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.select("doc_id", "text").mapInArrow(
-        _measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
+    measured = map_arrow(
+        docs.select("doc_id", "text"), _measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
     )
     bits = " + ".join(f"if({rule}, {BIT[name]}L, 0L)" for name, rule in RULES)
     return measured.withColumn("fail_bits", F.expr(bits))

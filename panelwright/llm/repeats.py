@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import TEXT_ROWS, cut, text_key
+from .common import map_arrow, text_key
 
 
 @dataclass(frozen=True)
@@ -38,15 +38,15 @@ class Unit:
 
 
 def runs(elements: np.ndarray, offsets: np.ndarray, unit: Unit):
-    """Runs of windows with one anchor: document, first window, number of windows, anchor's hash, hash of the run's elements."""
+    """Runs of windows with one anchor: document, first window, number of windows, anchor's place, its hash, hash of the run's elements."""
     n, size = len(elements), unit.length
     if n < size:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     spans = nt.SpanHash(elements)
     at = np.arange(n - unit.gram + 1)
     grams = spans(at, at + unit.gram)
-    bits = max(24, n.bit_length())
-    place = np.uint64((1 << bits) - 1)
+    # A fixed number of bits, so that every chunk orders anchors alike; no text has more bytes.
+    place = np.uint64((1 << 32) - 1)
     lowest = nt.window_min((grams & ~place) | at.astype(np.uint64), size - unit.gram + 1)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     starts = np.flatnonzero(np.arange(n - size + 1) + size <= ends[: n - size + 1])
@@ -55,30 +55,33 @@ def runs(elements: np.ndarray, offsets: np.ndarray, unit: Unit):
     first = starts[new]
     count = np.diff(np.append(new, len(starts)))
     doc = np.searchsorted(offsets, first, "right") - 1
-    return doc, first, count, grams[anchor[new]], spans(first, first + count - 1 + size)
+    return doc, first, count, anchor[new], grams[anchor[new]], spans(first, first + count - 1 + size)
 
 
 def run_rows(docs: DataFrame, unit: Unit) -> DataFrame:
-    """doc_id, _k1, first, count, g, h: the runs of all documents, placed within their document."""
+    """doc_id, _k1, first, count, lean, g, h: the runs of all documents, placed within their document.
+
+    lean: how far the first window is from the next place that lies a multiple of eight before the anchor.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in nt.chunks(batch.column(2)):
                 elements, offsets = unit.elements(chunk)
-                doc, first, count, g, h = runs(elements, offsets, unit)
+                doc, first, count, anchor, g, h = runs(elements, offsets, unit)
                 take = pa.array(doc + chunk.rows.start)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take), batch.column(1).take(take),
                         pa.array((first - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)),
-                        pa.array(nt.as_long(g)), pa.array(nt.as_long(h)),
+                        pa.array(((anchor - first) & 7).astype(np.int8)), pa.array(nt.as_long(g)), pa.array(nt.as_long(h)),
                     ],
-                    names=["doc_id", "_k1", "first", "count", "g", "h"],
+                    names=["doc_id", "_k1", "first", "count", "lean", "g", "h"],
                 )
 
-    return docs.select("doc_id", text_key(F.col("text"))[0], "text").mapInArrow(
-        scan, f"doc_id {kind}, _k1 long, first int, count int, g long, h long"
+    return map_arrow(
+        docs.select("doc_id", text_key(F.col("text"))[0], "text"), scan, f"doc_id {kind}, _k1 long, first int, count int, lean tinyint, g long, h long"
     )
 
 
@@ -125,7 +128,7 @@ def passages(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     texts = docs.select("doc_id", text_key(F.col("text"))[0], "text")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d._k1") == F.col("w._k1"))
     found = texts.alias("d").join(by_doc.alias("w"), same).select("d.text", "want")
-    return found.mapInArrow(read, "g long, salt long, h long, base int, count int, weight long, body binary")
+    return map_arrow(found, read, "g long, salt long, h long, base int, count int, weight long, body binary")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
@@ -208,5 +211,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._k1") == F.col("s._k1"))
     empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     joined = texts.alias("d").join(by_doc.alias("s"), same, "left").select("d.doc_id", "d.text", F.coalesce("spans", empty).alias("spans"))
-    # Written here, so that texts go to Python a few at a time.
-    return cut(joined.mapInArrow(cut_out, f"doc_id {kind}, n long, n_removed long, n_spans long, kept binary"), "kept", TEXT_ROWS)
+    return map_arrow(joined, cut_out, f"doc_id {kind}, n long, n_removed long, n_spans long, kept binary")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import TEXT_ROWS, cut
+from .common import cut, map_arrow
 
 WIDTH = 4
 MAX_BITS = 4
@@ -85,7 +85,7 @@ def add_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(nt.as_long(fp))], names=[*keep, "fp"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{kinds}, fp long")
+    return map_arrow(docs.select(F.col("text").alias("_text"), *keep), run, f"{kinds}, fp long")
 
 
 def variants() -> list:
@@ -180,7 +180,7 @@ def links(prints: DataFrame) -> DataFrame:
     # One number a unit of work keeps the sort and the comparison simple.
     unit = F.when(F.col("unit") == 0, F.col("key")).otherwise(F.xxhash64("key", "unit"))
     dealt = keyed.select(unit.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_forests, "u long, v long")
+    return map_arrow(dealt, _forests, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (doc_id is one), fp, root (the component's least fp) and component_id, one row a row of docs."""
     keep = keep or ["doc_id"]
-    marked = cut(add_fingerprint(docs, keep), "prints", TEXT_ROWS)
+    marked = cut(add_fingerprint(docs, keep), "prints")
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     stars = components(links(prints.select("fp")))
     rooted = cut(prints.join(stars, prints["fp"] == stars["u"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")

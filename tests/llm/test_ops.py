@@ -197,10 +197,18 @@ def test_strings(docs, rows):
     same(kept, brute.strings([(r[0], r[1]) for r in rows]))
 
 
-def test_strings_split_hot_anchors(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 1)
-    kept = suffix_dedup.dedup_strings(docs).select("doc_id", "n", "n_removed", "n_spans", F.sha2("kept", 256))
-    same(kept, brute.strings([(r[0], r[1]) for r in rows]))
+def test_strings_at_every_edge(spark):
+    """Windows at the ends of texts, beside NULs, and copies that differ in one byte at any place."""
+    import random
+
+    r = random.Random(4)
+    base = "".join(r.choice("ab \0é") for _ in range(700))
+    texts = [base, base[:650], base[3:], base[100:420], "\0" * 9 + base[200:400], base[200:400] + "\0" * 9, base[5:210], base[5:204]]
+    texts += [base[:k] + "#" + base[k + 1 :] for k in (0, 1, 7, 8, 9, 150, 199, 200, 201, 333, 698)]
+    texts += [base[i : i + 230] + "".join(r.choice("xyz") for _ in range(i % 9)) for i in range(0, 300, 23)]
+    rows = list(enumerate(texts)) + [(2, texts[2]), (None, base[300:]), (None, None)]
+    kept = suffix_dedup.dedup_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n", "n_removed", "n_spans", F.sha2("kept", 256))
+    same(kept, brute.strings(rows))
 
 
 def test_dedup_edges(empty, clashing, docs):
@@ -228,19 +236,15 @@ def test_matching_statistics():
                 k += 1
 
 
-def test_repeated_windows():
+def test_positions_of_runs():
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        parts = [rng.integers(0, 2, rng.integers(0, 40)).astype(np.uint8) for _ in range(6)]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        weight = rng.integers(1, 3, 6)
-        got = suffix_dedup.repeated_windows(np.concatenate(parts), offsets, weight, 8)
-        seen = Counter()
-        for p, w in zip(parts, weight, strict=True):
-            for k in range(len(p) - 7):
-                seen[p[k : k + 8].tobytes()] += w
-        want = [seen[p[k : k + 8].tobytes()] > 1 if k + 8 <= len(p) else False for p in parts for k in range(len(p))]
-        assert got.tolist() == want
+    first, count, lean = rng.integers(0, 50, 200), rng.integers(1, 40, 200), rng.integers(0, 8, 200)
+    run, at, near, far = suffix_dedup.steps_of(first, count, lean)
+    for i in range(200):
+        own = run == i
+        begins = [a - t for a, x, y in zip(at[own], near[own], far[own], strict=True) for t in range(x, y + 1)]
+        assert sorted(begins) == list(range(first[i], first[i] + count[i]))
+        assert set((at[own] - first[i] - lean[i]) % 8) == {0} and (near[own] >= 0).all() and (far[own] < 8).all()
 
 
 # --- 5
