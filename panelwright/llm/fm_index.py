@@ -2,6 +2,10 @@
 
 The Burrows-Wheeler transform is kept as a wavelet tree whose levels are packed
 bits with counts per 64 (a wavelet matrix: all nodes of a level side by side).
+Of the suffix order every ``SAMPLE``-th text position stays (and the first of
+each sequence), and the others are found by walking; of the shared lengths one byte a suffix, and for the way up
+two 32-bit places. Runs of suffixes that share a length are marked by packed
+bits. The suffix order itself lives only while an index is built.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ class Bits:
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1].astype(np.int32)
         self.zeros = len(bits) - int(bits.sum())
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) > 0
+
     def rank(self, i: np.ndarray) -> np.ndarray:
         """How many of the first i bits are set."""
         w = i >> 6
@@ -26,10 +33,17 @@ class Bits:
         return self.before[w] + np.bitwise_count(self.words[w] & low)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first symbols, depth at least, and the lengths that neighbours share, up to what was sorted."""
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and the lengths that neighbours share.
+
+    Symbol 0 ends a sequence, and no two ends are equal: earlier ones are
+    smaller. So nothing is compared beyond the end of a sequence.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
+    ends = np.flatnonzero(text == 0)
+    rank = text.astype(np.int64) + len(ends)
+    rank[ends] = np.arange(len(ends))
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
     ranks, k = [rank], 1
     while True:
         ahead = np.zeros(n, np.int64)
@@ -42,7 +56,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rank[order] = np.cumsum(new)
         ranks.append(rank)
         k *= 2
-        if k >= depth or new.all():
+        if new.all():
             break
     lcp = np.zeros(n, np.int64)
     a, b = order[:-1].copy(), order[1:].copy()
@@ -68,17 +82,25 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
     return at
 
 
+#: Every how many text positions the place in the order is kept, besides those where a sequence begins.
+SAMPLE = 32
+
+
 class FMIndex:
     """Index of a text of symbols 0 .. sigma-1; 0 ends every sequence, the last too, and is in no pattern.
 
-    depth: the longest match that is told apart.
+    depth: the longest match that is told apart, below 256. values: a number for
+    each text position, of which ``least`` gives the smallest.
     """
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
+    def __init__(self, text: np.ndarray, sigma: int, depth: int, values: np.ndarray | None = None):
+        if not 0 < depth < 256:
+            raise ValueError("depth is from 1 to 255")
         self.n, self.depth = len(text), depth
-        self.order, lcp = suffix_order(text, depth)
-        self.lcp = np.minimum(lcp, depth)
-        bwt = text[self.order - 1].astype(np.int64)
+        order, lcp = suffix_order(text)
+        self.lcp = np.minimum(lcp, depth).astype(np.uint8)
+        del lcp
+        bwt = text[order - 1].astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.levels = []
         for shift in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
@@ -87,7 +109,37 @@ class FMIndex:
             bwt = np.concatenate([bwt[~bit], bwt[bit]])
         symbols = np.arange(sigma)
         self.begin = self._descend(symbols, np.zeros(sigma, np.int64))
-        self._left = None
+        self._left, self._segment = None, {}
+        # The first symbol of a sequence too, so that no walk passes an end.
+        sampled = (order % SAMPLE == 0) | (text[order - 1] == 0)
+        self.is_sampled, self.samples = Bits(sampled), order[sampled].astype(np.int32)
+        self._least = None
+        if values is not None and self.n:
+            starts, _ = self._segments(depth)
+            self._least = np.minimum.reduceat(values[order], starts[:-1])
+
+    def symbol_at(self, at: np.ndarray) -> np.ndarray:
+        """The symbols of the transform at these places."""
+        found = np.zeros(len(at), np.int64)
+        for shift, bits in self.levels:
+            one = bits.get(at)
+            ones = bits.rank(at)
+            found |= one.astype(np.int64) << shift
+            at = np.where(one, bits.zeros + ones, at - ones)
+        return found
+
+    def locate(self, place: np.ndarray) -> np.ndarray:
+        """Text positions of suffixes by their places: steps back to a sampled one."""
+        at, out, todo = place.copy(), np.zeros(len(place), np.int64), np.arange(len(place))
+        steps = 0
+        while len(todo):
+            here = self.is_sampled.get(at[todo])
+            done = todo[here]
+            out[done] = self.samples[self.is_sampled.rank(at[done])] + steps
+            todo, steps = todo[~here], steps + 1
+            symbol = self.symbol_at(at[todo])
+            at[todo] = self._descend(symbol, at[todo]) + self.first[symbol] - self.begin[symbol]
+        return out
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for shift, bits in self.levels:
@@ -101,19 +153,22 @@ class FMIndex:
         both += np.concatenate([self.first[symbol] - self.begin[symbol]] * 2)
         return both[: len(low)], both[len(low) :]
 
-    def _neighbours(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
         if self._left is None:
-            edge = np.append(self.lcp, -1)
-            edge[0] = -1
-            self._left = nearest_smaller(edge)
-            self._right = self.n - nearest_smaller(edge[::-1])[::-1]
-            self._edge = edge
-        return self._edge, self._left, self._right
+            edge = self._edge(np.arange(self.n + 1))
+            self._left = nearest_smaller(edge).astype(np.int32)
+            self._right = (self.n - nearest_smaller(edge[::-1])[::-1]).astype(np.int32)
+        return self._left, self._right
+
+    def _edge(self, at: np.ndarray) -> np.ndarray:
+        """What the suffixes at at - 1 and at share; -1 at both ends of the order."""
+        inside = (at > 0) & (at < self.n)
+        return np.where(inside, self.lcp[np.minimum(at, self.n - 1)].astype(np.int64), -1)
 
     def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The smallest larger intervals, of shorter matches, and their lengths."""
-        edge, left, right = self._neighbours()
-        a, b = edge[low], edge[high]
+        left, right = self._neighbours()
+        a, b = self._edge(low), self._edge(high)
         size = np.maximum(a, b)
         new_low = np.where(a == size, left[low], low)
         new_high = np.where(b == size, right[high], high)
@@ -159,20 +214,18 @@ class FMIndex:
 
     def parent_to(self, low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The intervals of the first ``size`` symbols of what the given intervals stand for."""
-        starts, of = self._segments(size)
-        seg = of[low]
-        return starts[seg], starts[seg + 1], np.full(len(low), size)
-
-    def _segments(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where runs of suffixes that share ``size`` symbols begin, and each suffix's run."""
-        cache = self.__dict__.setdefault("_cache", {})
-        if size not in cache:
+        starts, marks = self._segments(size)
+        seg = marks.rank(low + 1) - 1
+        return starts[seg].astype(np.int64), starts[seg + 1].astype(np.int64), np.full(len(low), size)
+
+    def _segments(self, size: int) -> tuple[np.ndarray, Bits]:
+        """Where runs of suffixes that share ``size`` symbols begin, and these places as bits."""
+        if size not in self._segment:
             new = self.lcp < size
             new[0] = True
-            cache[size] = np.append(np.flatnonzero(new), self.n), np.cumsum(new) - 1
-        return cache[size]
+            self._segment[size] = np.append(np.flatnonzero(new), self.n).astype(np.int32), Bits(new)
+        return self._segment[size]
 
-    def least(self, values: np.ndarray, size: int) -> np.ndarray:
-        """For each place in the order, the least of values (by text position) over suffixes that share ``size`` symbols with it."""
-        starts, of = self._segments(size)
-        return np.minimum.reduceat(values[self.order], starts[:-1])[of]
+    def least(self, place: np.ndarray) -> np.ndarray:
+        """The least of values over suffixes that share ``depth`` symbols with the one at each place."""
+        return self._least[self._segments(self.depth)[1].rank(place + 1) - 1]

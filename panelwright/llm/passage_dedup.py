@@ -6,8 +6,8 @@ each through the index and takes, for every window whose matching statistic
 reaches ``LENGTH`` words, the smallest document that has it. A word is removed
 if some window over it also starts in a document with a smaller doc_id.
 
-An anchor with more than ``HOT`` distinct passages is split: its passages go
-window by window, dealt by the window's hash.
+An anchor with more than ``HOT`` distinct passages, some 300 KB of text, is
+split: its passages go window by window, dealt by the window's hash.
 
 Defined cases: a null text has no words; a document with a null doc_id is
 neither earlier nor later than any other, so it is kept whole and removes
@@ -32,7 +32,7 @@ from .repeats import Unit, groups_of, passages, remove_spans, run_rows
 
 LENGTH = 50
 GRAM = 16
-HOT = 4000
+HOT = 500
 SHARD_BYTES = 2 << 20
 
 
@@ -47,10 +47,9 @@ def earliest(bodies: pa.Array, lows: np.ndarray, counts: np.ndarray, length: int
     text = np.zeros(n, np.int64)
     owner = np.repeat(np.arange(len(bodies)), np.diff(of))
     text[np.arange(len(symbols)) + owner] = symbols + 1
-    index = FMIndex(text, len(kinds) + 1, length)
-    low_at = np.repeat(lows, np.diff(of) + 1)
+    index = FMIndex(text, len(kinds) + 1, length, np.repeat(lows, np.diff(of) + 1))
     size, place = index.matches(symbols + 1, of)
-    found = index.least(low_at, length)[place]
+    found = index.least(place)
     found = np.where(size >= length, found, np.iinfo(np.int64).max)
     # A passage has as many windows as it counts; they begin at its first words.
     return found[np.repeat(of[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
