@@ -49,9 +49,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     The lineage ends there, so that a lost executor costs only the tasks that
-    read the table. The table goes when the application ends, or by drop().
+    read the table. The table goes when the application ends, or by drop(). The
+    shuffles that made earlier tables go here: Spark deletes their files once
+    the driver's garbage is collected, which it may not be for long.
     """
     spark = df.sparkSession
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _folder(spark, path)[0].deleteOnExit(_folder(spark, path)[1])

@@ -70,11 +70,28 @@ def test_lm(docs, rows):
     assert sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
+def plain_fit(windows, counts, steps):
+    before = attention_lm.frequent(counts, attention_lm.CONTEXTS)
+    table = np.bincount(attention_lm.cooccurrence(windows, before), minlength=attention_lm.N_IDS * attention_lm.CONTEXTS)
+    classes = attention_lm._classes(table.reshape(attention_lm.N_IDS, -1).astype(float), counts, attention_lm.CLASSES)
+    start = attention_lm.start_of(counts, classes)
+    return attention_lm.model_of(start, attention_lm.improve(start, start.weights, windows, steps, 0.02, 0))
+
+
+def test_lm_gradients():
+    rng = np.random.default_rng(0)
+    windows = rng.integers(0, 40, (200, attention_lm.WINDOW + 1)).astype(np.int32)
+    counts = np.bincount(windows.ravel(), minlength=attention_lm.N_IDS).astype(float)
+    loss = lambda m: -np.mean([attention_lm.subword_scores(m, w, np.array([0, len(w)]))[8:].mean() for w in windows[:50]])
+    before, after = plain_fit(windows, counts, 0), plain_fit(windows, counts, 60)
+    assert loss(after) < loss(before)
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     windows = rng.integers(0, 40, (200, attention_lm.WINDOW + 1)).astype(np.int32)
     counts = np.bincount(windows.ravel(), minlength=attention_lm.N_IDS).astype(float)
-    m = attention_lm.fit(windows, counts, steps=30)
+    m = plain_fit(windows, counts, 30)
     # After the same subwords, over all that can come next.
     head = rng.integers(0, 40, 30).astype(np.int32)
     every = np.arange(attention_lm.N_IDS, dtype=np.int32)
@@ -89,7 +106,7 @@ def test_lm_windows_do_not_change_scores_of_their_overlap():
     rng = np.random.default_rng(1)
     windows = rng.integers(0, 40, (100, attention_lm.WINDOW + 1)).astype(np.int32)
     counts = np.bincount(windows.ravel(), minlength=attention_lm.N_IDS).astype(float)
-    m = attention_lm.fit(windows, counts, steps=5)
+    m = plain_fit(windows, counts, 5)
     a, b = rng.integers(0, 40, 100).astype(np.int32), rng.integers(0, 40, 57).astype(np.int32)
     one = attention_lm.subword_scores(m, a, np.array([0, 100]))
     two = attention_lm.subword_scores(m, np.concatenate([b, a]), np.array([0, 57, 157]))[57:]
@@ -131,19 +148,100 @@ def test_lm_counts_every_triple(docs):
 
 def test_lm_sample_is_even(spark, monkeypatch):
     monkeypatch.setattr(attention_lm, "PACK_BYTES", 1 << 14)
-    monkeypatch.setattr(attention_lm, "FIT_WINDOWS", 4000)
+    monkeypatch.setattr(attention_lm, "FIT_LEAST", 4000)
     # One task, many packs: a mark of its own for each quarter of the subwords, the last in one document.
-    rows = [(i, f"{'abc'[i // 100]} " * 240) for i in range(300)] + [(300, "d " * 24000)]
+    rows = [(i, f"{'abc'[i // 1200]} " * 240) for i in range(3600)] + [(3600, "d " * 288000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     with open(attention_lm.VOCABULARY, "rb") as f:
         vocabulary = f.read()
-    packs = attention_lm.cut(attention_lm.pack(docs, F.lit(True), vocabulary), "packs", 16)
-    assert packs.count() > 4
-    windows = attention_lm._sample(packs)
+    packs = attention_lm.cut(attention_lm.pack(docs, F.lit(True), vocabulary), "packs")
+    assert packs.count() > 3
+    read = lambda: np.concatenate([np.frombuffer(r.w, np.uint16).reshape(-1, attention_lm.WINDOW + 1) for r in attention_lm.sample(packs).collect()])
+    windows = read()
     marks = [attention_lm.Subwords(vocabulary)(np.frombuffer(x, np.uint8), np.array([0]), np.array([1]))[1][0] for x in (b"a", b"b", b"c", b"d")]
     share = [(windows == m).any(axis=1).mean() for m in marks]
     assert len(windows) == pytest.approx(4000, rel=0.02) and np.allclose(share, 0.25, atol=0.04)
-    assert attention_lm.CLASSES == 96
+    # Beyond the least number, windows grow with the text.
+    monkeypatch.setattr(attention_lm, "FIT_EVERY", 96)
+    assert len(read()) == pytest.approx((4 * 288000 + 3601) / 96, rel=0.02)
+
+
+def test_lm_fit_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "FIT_LEAST", 256)
+    monkeypatch.setattr(attention_lm, "FIT_ROUNDS", 2)
+    rng = np.random.default_rng(3)
+    windows = np.cumsum(rng.integers(1, 3, (1024, attention_lm.WINDOW + 1)), axis=1) % 40
+    counts = np.bincount(windows.ravel(), minlength=attention_lm.N_IDS).astype(float)
+    blobs = [(i, bytearray(windows[i : i + 64].astype(np.uint16).tobytes())) for i in range(0, 1024, 64)]
+    df = spark.createDataFrame(blobs, "pack long, w binary").repartition(4).cache()
+    m = attention_lm.fit(df, counts)
+    ids = windows[:100].ravel().astype(np.int32)
+    score = lambda x: attention_lm.subword_scores(x, ids, np.arange(0, len(ids) + 1, attention_lm.WINDOW + 1)).mean()
+    assert score(m) > score(plain_fit(windows, counts, 0)) + 0.3
+    # No window at all leaves the start.
+    assert np.isfinite(attention_lm.fit(df.limit(0), np.zeros(attention_lm.N_IDS)).emit).all()
+    df.unpersist()
+
+
+def plain_lm(model, backoff, encode, rows, train):
+    """Scores subword by subword and word by word."""
+    n = attention_lm
+    tokens = [[w.translate(brute.LOWER) for w in brute.words(t)] for _, t in rows]
+    counts = Counter(w for ws, tr in zip(tokens, train, strict=True) if tr for w in [*ws, None])
+    total, kinds = sum(counts.values()), len(counts)
+    out = []
+    for ws in tokens:
+        pieces = [encode(" " + w) for w in ws] + [[n.END]]
+        ids = [i for p in pieces for i in p]
+        word_log, j = [], 0
+        for p, w in zip(pieces, [*ws, None], strict=True):
+            log, before = 0.0, [n.START, n.START]
+            for x in p:
+                k, i = divmod(j, n.STRIDE)
+                seen = lambda at: ids[at] if 0 <= at < len(ids) else n.END  # noqa: E731, B023
+                keys = [seen(k * n.STRIDE - n.CONTEXT - 1 + c) for c in range(n.CONTEXT + i + 1)]
+                me, keys = model.to_model[keys[-1]], model.to_model[keys]
+                a = model.k[keys] @ model.q[me] + model.bias[i, : len(keys)]
+                a = np.exp(a - a.max())
+                z = (a / a.sum()) @ model.v[keys] + model.b[me]
+                z -= np.log(np.exp(z - z.max()).sum()) + z.max()
+                attention = math.exp(z[model.to_class[x]] + model.emit[x])
+                if w is not None:
+                    key = np.array([(before[0] << 32) + (before[1] << 16) + x], np.int64)
+                    own, rest = backoff(key)
+                    attention = own[0] + rest[0] * attention
+                log += math.log(attention)
+                before, j = [before[1], x], j + 1
+            word_log.append((log, counts[w] / (total + kinds + 1)))
+        each = [math.prod([1.0]) and sum(np.logaddexp(math.log(1 - s) + lg, math.log(s * u) if u else -np.inf) for lg, u in word_log) for s in n.SHARES]
+        out.append((np.logaddexp.reduce(each) - math.log(len(each))) / math.log(10))
+    return out
+
+
+def test_lm_score_equals_a_plain_forward_pass(spark, monkeypatch, docs, rows):
+    made = {}
+    fit = attention_lm.fit
+    monkeypatch.setattr(attention_lm, "fit", lambda *a: made.setdefault("m", fit(*a)))
+    some = [(r[0], r[1]) for r in rows if r[0] is not None and len(r[1] or "") < 4000] + [(900, "z" * 3000 + " known"), (901, "z" * 3000)]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(2)
+    train = [i % 3 > 0 or i == 900 for i, _ in some]
+    keep = (F.col("doc_id") % 3 > 0) | (F.col("doc_id") == 900)
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in attention_lm.score(df, keep).collect())
+    with open(attention_lm.VOCABULARY, "rb") as f:
+        vocabulary = f.read()
+    encode = attention_lm.Subwords(vocabulary).encode
+    keys = Counter()
+    for (_, t), tr in zip(some, train, strict=True):
+        for w in brute.words(t) if tr else ():
+            p = np.array(encode(" " + w.translate(brute.LOWER)), np.uint16)
+            keys.update(k for k in attention_lm.triples(np.array([0, len(p)]), p).tolist() if attention_lm._inner(np.array([k]))[0])
+    backoff = attention_lm.Backoff(np.array(list(keys)), np.array(list(keys.values())))
+    want = plain_lm(made["m"], backoff, encode, some, train)
+    want = sorted((i, len(brute.words(t)) + 1, x) for (i, t), x in zip(some, want, strict=True))
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=2e-4, abs=2e-4)
+    # A known word that is very long keeps its own share.
+    assert dict((a, c) for a, _, c in got)[901] > -8
 
 
 def test_lm_edges(docs, empty, clashing):
@@ -231,9 +329,20 @@ def test_matching_statistics():
             for i in range(len(p)):
                 best = max((q for q in range(1, min(depth, len(p) - i) + 1) if any(t[s : s + q] == p[i : i + q] for s in range(len(t)))), default=0)
                 assert size[k] == best
-                at = index.order[place[k]]
+                at = int(index.locate(place[k : k + 1])[0])
                 assert t[at : at + best] == p[i : i + best]
                 k += 1
+        assert sorted(index.locate(np.arange(len(t))).tolist()) == list(range(len(t)))
+
+
+def test_index_is_smaller_than_its_text():
+    words = np.random.default_rng(0).integers(1, 5000, 200_000)
+    index = FMIndex(np.append(words, 0), 5000, 50)
+    index.matches(words[:1000], np.array([0, 1000]))
+    arrays = [index.lcp, index.samples, index._left, index._right, index.first, index.begin, index.is_sampled.words, index.is_sampled.before]
+    arrays += [x for _, b in index.levels for x in (b.words, b.before)] + [x for starts, b in index._segment.values() for x in (starts, b.words, b.before)]
+    # A word and its blank are more than six bytes; the plain suffix order alone would be eight.
+    assert sum(a.nbytes for a in arrays) < 20 * len(words) and not hasattr(index, "order")
 
 
 def test_positions_of_runs():
