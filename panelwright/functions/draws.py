@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 #: A multiplicative generator modulo a prime; products stay below 2**63.
 PRIME = 2147483647
 FACTOR = 48271
@@ -39,12 +42,39 @@ def sign_sql(*parts: str, seed: int = 0) -> str:
     return f"CASE WHEN (({hashed_sql(*parts, seed=seed)}) // 1024) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with _i, their place in the order of the key from 0: counted within ranges of the key, without one sort of all."""
+    held = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    held = cut(held, "numbered")
+    sizes = held.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    # A row a range.
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_b"))
+    place = F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_p", F.shiftright("_m", 33)).join(starts, "_p").withColumn("_i", place).select(*rows.columns, "_i")
+
+
 def draw_counts(units: DataFrame, unit: str, reps: int, seed: int = 0) -> DataFrame:
     """rep, place and the columns of units: rows drawn with replacement, as many as there are.
 
     It has reps rows a unit; sums over it are made by Spark.
     """
-    ranked = units.withColumn("_i", F.row_number().over(Window.orderBy(unit)) - 1)
+    ranked = numbered(units, unit)
     n = ranked.count()
-    draws = units.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
-    return draws.withColumn("_i", hashed(F.col("rep"), F.col("place"), seed=seed) % n).join(ranked, "_i").drop("_i")
+    id_ = F.col("id")
+    draws = units.sparkSession.range(reps * n).select((F.floor(id_ / n) + 1).cast("long").alias("rep"), (id_ % max(1, n)).alias("place"))
+    return draws.withColumn("_i", hashed(F.col("rep"), F.col("place"), seed=seed) % max(1, n)).join(ranked, "_i").drop("_i")
+
+
+def hashed_array(*parts: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The same as hashed, of numpy arrays of whole numbers."""
+    x = np.int64(seed % PRIME + 1)
+    for p in parts:
+        for shift in (11, 7919):
+            x = (x * np.int64(FACTOR) + p % PRIME + shift) % PRIME
+            x = (x * x + shift) % PRIME
+    return (x * np.int64(FACTOR)) % PRIME
+
+
+def sign_array(*parts: np.ndarray, seed: int = 0) -> np.ndarray:
+    return np.where((hashed_array(*parts, seed=seed) // 1024) % 2 == 0, 1.0, -1.0)

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.report import Report
 from ..functions.tails import chi2_sf
 from ..plans.formula import ModelSpec, parse
 from ..sources.panel import Panel
@@ -83,7 +84,7 @@ def wald_path(panel: Panel, spec: ModelSpec, times: list, dates: list, terms: li
         if after:
             bounds += [(2 * i, times[0], d), (2 * i + 1, after[0], times[-1])]
     fits, names, _ = regimes(panel, spec, bounds)
-    means = regime_means(fits, names)
+    means = regime_means(fits, names, spec.model)
     at = [i for i, n in enumerate(names) if (n != CONST if terms is None else n in terms)]
     out = []
     for i, d in enumerate(dates):
@@ -112,10 +113,12 @@ def break_test(
     spec = parse(formula, csa, model=model, **params)
     times = [r[0] for r in panel.df.select(panel.time).distinct().orderBy(panel.time).collect()]
     if break_date is not None:
+        if break_date not in times:
+            raise ValueError(f"{break_date!r} is no period of the panel")
         got = wald_path(panel, spec, times, [break_date], terms)
         if not got:
             raise ValueError("no fit on one side of the date")
-        return {"type": "known", "statistic": got[0][1], "df": got[0][2], "p_value": chi2_sf(got[0][1], got[0][2]), "break_dates": [break_date]}
+        return Report("Wald test of a break at a known date", {"type": "known", "statistic": got[0][1], "df": got[0][2], "p_value": chi2_sf(got[0][1], got[0][2]), "break_dates": [break_date]})
     path = wald_path(panel, spec, times, _candidates(times, trim), terms)
     if not path:
         raise ValueError("no candidate date has a fit")
@@ -137,7 +140,7 @@ def break_test(
         if not found:
             break
         dates.append(max(found, key=lambda r: r[1])[0])
-    return {
+    return Report("Largest Wald test of a break at an unknown date", {
         "type": "unknown", "statistic": best[1], "df": best[2], "p_value": sup_wald_p(best[1], cv), "critical_values": cv,
         "break_date": best[0], "break_dates": sorted(dates), "candidates": [(d, w) for d, w, _ in path],
-    }
+    })

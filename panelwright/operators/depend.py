@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_counts, sign
+from ..functions.draws import draw_counts, sign_array
+from ..functions.report import Report
 from ..functions.tails import normal_quantile, two_sided
+from ..sources.scratch import cut
 
 TESTS = ("pesaran", "cdw", "cdwplus", "pea", "cdstar")
 
@@ -36,16 +40,39 @@ def _sizes(df: DataFrame, unit: str, time: str, value: str) -> tuple[int, int]:
     return tuple(df.filter(F.col(value).isNotNull()).agg(F.count_distinct(unit), F.count_distinct(time)).first())
 
 
-def signed_sums(pairs: DataFrame, term, reps: int, seed: int) -> DataFrame:
-    """rep, s: the sum over pairs of w_i w_j times a term, for each draw of signs."""
-    units = pairs.select(F.col("i").alias("u")).union(pairs.select("j")).distinct()
-    draws = F.transform(F.sequence(F.lit(1), F.lit(reps)), lambda r: sign(F.col("u"), r, seed=seed))
-    w = units.select("u", draws.alias("w"))
-    both = pairs.select("i", "j", term.alias("x")).join(w.select(F.col("u").alias("i"), F.col("w").alias("wi")), "i")
-    both = both.join(w.select(F.col("u").alias("j"), F.col("w").alias("wj")), "j")
-    sums = [F.sum(F.col("x") * F.get("wi", F.lit(r)) * F.get("wj", F.lit(r))).alias(f"s{r}") for r in range(reps)]
-    row = both.agg(F.array(*sums).alias("s"))
-    return row.select(F.posexplode("s").alias("rep", "s"))
+def signed_sums(pairs: DataFrame, term, reps: int, seed: int) -> np.ndarray:
+    """For each draw of signs the sum over pairs of w_i w_j times a term. Tasks sum their own pairs; a row a batch comes to the driver."""
+    number = lambda c: F.col(c).cast("long") if pairs.schema[c].dataType.typeName() in ("long", "integer", "short", "byte") else F.xxhash64(c)
+    draw = np.arange(1, reps + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            total = np.zeros(reps)
+            for a in range(0, len(pdf), 1024):
+                i, j, x = (pdf[c].to_numpy()[a : a + 1024, None] for c in ("i", "j", "x"))
+                total += (sign_array(i, draw, seed=seed) * sign_array(j, draw, seed=seed) * x).sum(axis=0)
+            yield pd.DataFrame({"s": [total]})
+
+    rows = pairs.select(number("i").alias("i"), number("j").alias("j"), term.cast("double").alias("x")).mapInPandas(run, "s array<double>").collect()
+    return np.sum([r[0] for r in rows], axis=0) if rows else np.zeros(reps)
+
+
+def balanced_total(df: DataFrame, unit: str, time: str, value: str) -> float | None:
+    """The sum over pairs of sqrt(T) rho where every unit has every period, from sums of standardised values by period; None elsewhere.
+
+    Pairs need not be formed then: twice the sum of rho over pairs is the sum
+    over periods of squared sums over units, less the number of units.
+    """
+    d = df.filter(F.col(value).isNotNull()).select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(value).cast("double").alias("x"))
+    units = d.groupBy("u").agg(F.count("*").alias("n"), F.count_distinct("t").alias("k"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    least, most, wide, varied = units.agg(F.min("n"), F.max("n"), F.min("k"), F.sum((F.col("v") > 0).cast("long"))).first()
+    periods = d.select("t").distinct().count()
+    if least is None or not (least == most == wide == periods) or periods < 3:
+        return None
+    z = (F.col("x") - F.col("m")) / F.sqrt(F.col("v") * periods)
+    sums = d.join(units.filter("v > 0"), "u").groupBy("t").agg(F.sum(z).alias("s"))
+    total = sums.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+    return math.sqrt(periods) * ((total or 0.0) - varied) / 2
 
 
 def top_share(df: DataFrame, unit: str, time: str, value: str, n_pca: int = 1) -> float | None:
@@ -73,7 +100,7 @@ def time_gram(df: DataFrame, unit: str, time: str, value: str, times: list) -> n
     return g
 
 
-def cd_tests(df: DataFrame, unit: str, time: str, value: str, tests: list[str] | None = None, reps: int = 100, seed: int = 0, n_pca: int = 1) -> DataFrame:
+def cd_tests(df: DataFrame, unit: str, time: str, value: str, tests: list[str] | None = None, reps: int = 500, seed: int = 0, n_pca: int = 1) -> DataFrame:
     """test, statistic, p_value (two-sided normal) of a column, by default without cdwplus.
 
     cdw keeps the published average over signed draws, which is near zero even
@@ -86,28 +113,29 @@ def cd_tests(df: DataFrame, unit: str, time: str, value: str, tests: list[str] |
     n, t_all = _sizes(df, unit, time, value)
     if n < 2:
         raise ValueError("two units at least are needed")
-    pairs = pair_table(df, unit, time, value).persist()
     scale = math.sqrt(2.0 / (n * (n - 1)))
-    cd = pairs.agg(F.sum(F.sqrt("t") * F.col("rho"))).first()[0]
-    cd = scale * (cd or 0.0)
+    total = balanced_total(df, unit, time, value)
+    pairs = None if total is not None and not {"pea", "cdw", "cdwplus"} & set(tests) else cut(pair_table(df, unit, time, value), "pairs")
+    if total is None:
+        total = pairs.agg(F.sum(F.sqrt("t") * F.col("rho"))).first()[0] or 0.0
+    cd = scale * total
     out = []
     for name in tests:
         if name == "pesaran":
             s = cd
         elif name == "pea":
-            cut = 2 * math.sqrt(math.log(n) / t_all)
-            s = cd + (pairs.filter(F.abs("rho") > cut).agg(F.sum(F.abs("rho"))).first()[0] or 0.0)
+            least = 2 * math.sqrt(math.log(n) / t_all)
+            s = cd + (pairs.filter(F.abs("rho") > least).agg(F.sum(F.abs("rho"))).first()[0] or 0.0)
         elif name == "cdw":
-            s = scale * signed_sums(pairs, F.sqrt("t") * F.col("rho"), reps, seed).agg(F.avg("s")).first()[0]
+            s = scale * signed_sums(pairs, F.sqrt("t") * F.col("rho"), reps, seed).mean()
         elif name == "cdwplus":
             term = ((F.col("t") - 1) * F.col("rho") * F.col("rho") - 1) / F.lit(math.sqrt(2.0))
-            s = math.sqrt(1.0 / (n * (n - 1))) * signed_sums(pairs, term, reps, seed).agg(F.avg(F.abs("s"))).first()[0]
+            s = math.sqrt(1.0 / (n * (n - 1))) * np.abs(signed_sums(pairs, term, reps, seed)).mean()
         else:
             theta = top_share(df, unit, time, value, n_pca)
             theta = None if theta is None else min(theta, 0.99)
             s = cd if theta is None else (cd + math.sqrt(t_all / 2) * theta) / (1 - theta)
         out.append((name, float(s), two_sided(s)))
-    pairs.unpersist()
     return df.sparkSession.createDataFrame(out, "test string, statistic double, p_value double")
 
 
@@ -130,7 +158,7 @@ def exponent_variable(df: DataFrame, unit: str, time: str, value: str, size: flo
     ln = math.log(n)
     alpha = 1 + math.log(var) / (2 * ln) - math.log(mu2) / (2 * ln) - r["c"] / (2 * n * ln * var)
     s = 1 / (2 * ln * math.sqrt(n))
-    return {"alpha": alpha, "se": s, "low": alpha - 1.96 * s, "high": alpha + 1.96 * s}
+    return Report("Exponent of cross-sectional dependence", {"alpha": alpha, "se": s, "low": alpha - 1.96 * s, "high": alpha + 1.96 * s})
 
 
 def exponent_residual(df: DataFrame, unit: str, time: str, value: str, tuning: float = 0.5, reps: int = 100, seed: int = 0) -> dict:
@@ -139,19 +167,19 @@ def exponent_residual(df: DataFrame, unit: str, time: str, value: str, tuning: f
     A unit drawn twice is a pair with correlation one, as in the published bootstrap.
     """
     n, t = _sizes(df, unit, time, value)
-    cut = tuning * math.sqrt(math.log(n * t) / t)
-    pairs = pair_table(df, unit, time, value).filter(F.abs("rho") > cut).persist()
+    title = "Exponent of cross-sectional dependence of residuals"
+    least = tuning * math.sqrt(math.log(n * t) / t)
+    pairs = cut(pair_table(df, unit, time, value).filter(F.abs("rho") > least), "strong_pairs")
     quad = 2 * (pairs.agg(F.sum("rho")).first()[0] or 0.0)
     if quad <= 0:
-        return {"alpha": 0.5, "se": None, "low": None, "high": None}
-    counts = draw_counts(df.select(unit).distinct(), unit, reps, seed).groupBy("rep", F.col(unit).alias("u")).agg(F.count("*").alias("c")).persist()
+        return Report(title, {"alpha": 0.5, "se": None, "low": None, "high": None})
+    counts = cut(draw_counts(df.select(unit).distinct(), unit, reps, seed).groupBy("rep", F.col(unit).alias("u")).agg(F.count("*").alias("c")), "draws")
     # A unit drawn c times makes c(c - 1) pairs with itself, of correlation one.
     same = counts.groupBy("rep").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
     ci, cj = (counts.select("rep", F.col("u").alias(x), F.col("c").alias(f"c{x}")) for x in ("i", "j"))
     sums = pairs.join(ci, "i").join(cj, ["rep", "j"]).groupBy("rep").agg(F.sum(F.col("ci") * F.col("cj") * F.col("rho")).alias("s"))
-    rows = same.join(sums, "rep", "left").select(F.col("same") * (1.0 if cut < 1 else 0.0) + 2 * F.coalesce("s", F.lit(0.0))).collect()  # a row a draw
-    counts.unpersist()
+    rows = same.join(sums, "rep", "left").select(F.col("same") * (1.0 if least < 1 else 0.0) + 2 * F.coalesce("s", F.lit(0.0))).collect()  # a row a draw
     draws = np.array([r[0] for r in rows])
     alphas = np.where(draws > 0, np.log(np.maximum(draws, 1e-300)) / (2 * math.log(n)), 0.5)
     low, high = np.quantile(alphas, [0.025, 0.975])
-    return {"alpha": math.log(quad) / (2 * math.log(n)), "se": float(alphas.std(ddof=1)), "low": float(low), "high": float(high)}
+    return Report(title, {"alpha": math.log(quad) / (2 * math.log(n)), "se": float(alphas.std(ddof=1)), "low": float(low), "high": float(high)})

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
 import math
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -142,6 +144,12 @@ def mean_group(units: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return b, v + np.triu(v, 1).T
 
 
+def _release(units: DataFrame) -> None:
+    """The unit table of a fit that is gone leaves the cache; a plan that still reads it makes it anew."""
+    with contextlib.suppress(Exception):  # the session may have ended
+        units.unpersist()
+
+
 def fit_spec(panel: Panel, spec: ModelSpec, weights: DataFrame | None = None) -> PanelFit:
     if spec.model == "ife":
         from .ife import fit_ife
@@ -170,6 +178,7 @@ def fit_spec(panel: Panel, spec: ModelSpec, weights: DataFrame | None = None) ->
     units = solve(held, [u], own.constant).persist()
     b, v = mean_group(units, kept)
     result = PanelFit(spec, panel, design, y, cols, names, kept, units, b, v, csa)
+    weakref.finalize(result, _release, units)
     if own.correction and spec.model in ("cce", "dynamic_cce"):
         half = half_panel_mean if own.correction == "half_panel" else calendar_half_mean
         mean = half(result, own_panel)
@@ -211,6 +220,7 @@ def _halves(f: PanelFit, rows: DataFrame, least_units: int = 1) -> np.ndarray |
     const = CONST in f.names
     g = gram(rows, ["_half", u], f.y_column, f.columns).filter(F.col("n") > len(f.names))
     b = solve(g, ["_half", u], const)
+    f.info["halves"] = b
     means = b.groupBy("_half").agg(F.count("*").alias("n"), *[F.avg(F.get("b", F.lit(i))).alias(f"m{i}") for i in range(f.kept)]).collect()
     if len(means) < 2 or min(r["n"] for r in means) < least_units:
         return None

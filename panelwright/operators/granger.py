@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.report import Report
 from ..functions.tails import two_sided
 from ..sources.panel import Panel
 from .ols import gram, solve
@@ -46,4 +47,4 @@ def granger_test(panel: Panel, y: str, x: str, lags: int = 1, compat: bool = Fal
     w = r[1] * (1 if compat else k)
     z = math.sqrt(r[0] / (2 * k)) * (w - k)
     zt = (w - r[2]) / math.sqrt(r[3] / r[4]) if r[4] >= 2 else None
-    return {"w_bar": w, "z_bar": z, "z_tilde": zt, "p_z": two_sided(z), "p_zt": None if zt is None else two_sided(zt), "n": r[0], "t_bar": r[5]}
+    return Report("Causality test", {"w_bar": w, "z_bar": z, "z_tilde": zt, "p_z": two_sided(z), "p_zt": None if zt is None else two_sided(zt), "n": r[0], "t_bar": r[5]})

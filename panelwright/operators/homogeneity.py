@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 
+from ..functions.report import Report
 from ..functions.tails import chi2_sf, two_sided
 from .fit import CONST, TREND, PanelFit
 from .ols import RANK_TOL, pooled_inverse_variance, weighted_sums
@@ -31,7 +32,7 @@ def swamy_test(fit: PanelFit) -> dict:
     s = float(bwb - 2 * star @ wb + star @ w @ star)
     k = len(at)
     delta = math.sqrt(n) * (s / n - k) / math.sqrt(2 * k)
-    return {"statistic": s, "df": k * (n - 1), "p_value": chi2_sf(s, k * (n - 1)), "delta": delta, "p_delta": two_sided(delta), "n": n, "k": k}
+    return Report("Homogeneity of slopes", {"statistic": s, "df": k * (n - 1), "p_value": chi2_sf(s, k * (n - 1)), "delta": delta, "p_delta": two_sided(delta), "n": n, "k": k})
 
 
 def hausman_test(fit: PanelFit) -> dict:
@@ -41,4 +42,4 @@ def hausman_test(fit: PanelFit) -> dict:
     gap = fit.estimate[at] - pool
     d = fit.variance[np.ix_(at, at)] - v_pool
     h = float(gap @ np.linalg.pinv(d, rcond=RANK_TOL, hermitian=True) @ gap)
-    return {"statistic": h, "df": len(at), "p_value": chi2_sf(abs(h), len(at)), "b_pool": pool}
+    return Report("Mean-group against pooled slopes", {"statistic": h, "df": len(at), "p_value": chi2_sf(abs(h), len(at)), "b_pool": pool})

@@ -7,6 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.report import Report
+
 
 def eigenvalue_ratio(values, k_max: int) -> int:
     """The k up to k_max with the largest ratio of neighbouring eigenvalues."""
@@ -36,7 +38,7 @@ def information_criteria(fit, reference=None) -> dict:
     var = s["ssr"] / obs
     rate = m * (n + t) / (n * t)
     p1, p2 = math.log(n * t / (n + t)), math.log(min(n, t))
-    out = {"ic1": math.log(var) + rate * p1, "ic2": math.log(var) + rate * p2, "pc1": None, "pc2": None, "s2": var, "m": m}
+    out = Report("Information criteria", {"ic1": math.log(var) + rate * p1, "ic2": math.log(var) + rate * p2, "pc1": None, "pc2": None, "s2": var, "m": m})
     if reference is not None:
         r = reference.summary_row()
         ref = r["ssr"] / r["nobs"]
@@ -55,17 +57,18 @@ def rank_condition(fit, criterion: str = "er") -> dict:
     """m: factors in y by its eigenvalues; g: rank of the table of averages; rc: whether g reaches m."""
     from .depend import time_gram
 
+    title = "Rank condition"
     if not fit.csa:
-        return {"m": 0, "g": 0, "rc": 1}
+        return Report(title, {"m": 0, "g": 0, "rc": 1})
     p, y = fit.panel, fit.spec.y.expr(fit.panel.by_unit)
     d = p.df.select(p.unit, p.time, y.alias("_v"))
     n = d.select(p.unit).distinct().count()
     full = d.filter("_v is not null").groupBy(p.time).agg(F.count("*").alias("n")).filter(F.col("n") == n).select(p.time)
     times = [r[0] for r in full.orderBy(p.time).collect()]
     if len(times) < 3 or n < 3:
-        return {"m": None, "g": None, "rc": None}
+        return Report(title, {"m": None, "g": None, "rc": None})
     values = np.linalg.eigvalsh(time_gram(d.join(full, p.time), p.unit, p.time, "_v", times))[::-1][: min(n, len(times))]
     k_max = min(n, len(times)) // 2
     m = (eigenvalue_ratio if criterion == "er" else growth_ratio)(np.maximum(values, 0), k_max)
     g, _ = averages_rank(fit)
-    return {"m": m, "g": g, "rc": int(g >= m)}
+    return Report(title, {"m": m, "g": g, "rc": int(g >= m)})

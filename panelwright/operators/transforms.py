@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.panel import Panel
+from ..sources.scratch import cut
 
 
 def lag(panel: Panel, columns: list[str], k: int) -> Panel:
@@ -99,19 +98,11 @@ def csa_spatial(panel: Panel, columns: list[str], weights: DataFrame, lags: int
     )
 
 
-def shared_copy(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share, and read back: iterations end their lineage so."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-panel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+def demean(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """columns less their means by group, from an aggregate that is combined before the shuffle; null is a group."""
+    means = df.groupBy(F.col(group).alias("_group")).agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean_{i}") for i, c in enumerate(columns)])
+    rows = df.join(means, F.col(group).eqNullSafe(F.col("_group")))
+    return rows.withColumns({c: F.col(c).cast("double") - F.col(f"_mean_{i}") for i, c in enumerate(columns)}).select(*df.columns)
 
 
 def absorb(panel: Panel, columns: list[str], groups: list[str], tol: float = 1e-10, rounds: int = 200) -> Panel:
@@ -124,18 +115,14 @@ def absorb(panel: Panel, columns: list[str], groups: list[str], tol: float = 1e-
         if g not in panel.df.columns:
             raise ValueError(f"column to absorb {g!r} not found")
 
-    def demean(df: DataFrame, group: str) -> DataFrame:
-        w = Window.partitionBy(group)
-        return df.withColumns({c: F.col(c).cast("double") - F.avg(F.col(c).cast("double")).over(w) for c in columns})
-
     df = panel.df.withColumns({c: F.col(c).cast("double") for c in columns})
     if len(groups) == 1:
-        return panel.with_df(demean(df, groups[0]))
+        return panel.with_df(demean(df, columns, groups[0]))
     for _ in range(rounds):
         before = df.withColumns({f"_was_{c}": F.col(c) for c in columns})
         for g in groups:
-            before = demean(before, g)
-        moved = shared_copy(before)
+            before = demean(before, columns, g)
+        moved = cut(before, "absorb")
         change = moved.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(c) - F.col(f"_was_{c}")) for c in columns]))).first()[0]
         df = moved.drop(*[f"_was_{c}" for c in columns])
         if change is None or change < tol:
@@ -156,8 +143,7 @@ def common_dynamic_process(panel: Panel, y: str, xs: list[str]) -> DataFrame:
         {f"_d{i}": F.col(c).cast("double") - F.lag(F.col(c).cast("double"), 1).over(panel.by_unit) for i, c in enumerate([y, *xs])}
     ).df.select(panel.time, *[f"_d{i}" for i in range(len(xs) + 1)])
     d = d.dropna(subset=[f"_d{i}" for i in range(len(xs) + 1)])
-    w = Window.partitionBy(panel.time)
-    within = d.select(F.lit(1).alias("one"), *[(F.col(f"_d{i}") - F.avg(f"_d{i}").over(w)).alias(f"_d{i}") for i in range(len(xs) + 1)])
+    within = demean(d, [f"_d{i}" for i in range(len(xs) + 1)], panel.time).withColumn("one", F.lit(1))
     rows = gram(within, ["one"], "_d0", [f"_d{i}" for i in range(1, len(xs) + 1)]).collect()
     if not rows:
         raise ValueError("no period has a complete first difference")

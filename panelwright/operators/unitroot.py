@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.report import Report
 from ..functions.tails import bracket_p, normal_cdf
 from ..sources.panel import Panel
 from .ols import ols
@@ -56,7 +57,7 @@ def cips_test(panel: Panel, column: str, lags: int = 0, trend: bool = False) ->
         raise ValueError(f"too few periods for {lags} lags")
     r = cips_units(panel, column, lags, trend).agg(F.avg("t"), F.count("t")).first()
     s = r[0] if r[0] is not None else math.nan
-    return {"statistic": s, "p_value": bracket_p(s, *CIPS_CV[trend]), "n": r[1], "t": t}
+    return Report("Cross-sectionally augmented unit-root test", {"statistic": s, "p_value": bracket_p(s, *CIPS_CV[trend]), "n": r[1], "t": t})
 
 
 def unit_root_test(panel: Panel, column: str, test: str = "ips", lags: int = 0, trend: bool = False) -> dict:
@@ -68,4 +69,4 @@ def unit_root_test(panel: Panel, column: str, test: str = "ips", lags: int = 0,
         raise ValueError("fewer than 2 usable units")
     e, v = IPS_MOMENTS[trend]
     s = math.sqrt(r[2]) * (r[0] - e) / math.sqrt(v) if test == "ips" else r[0] / (r[1] / math.sqrt(r[2]))
-    return {"test": test, "statistic": s, "p_value": normal_cdf(s), "n": r[2]}
+    return Report("Panel unit-root test", {"test": test, "statistic": s, "p_value": normal_cdf(s), "n": r[2]})

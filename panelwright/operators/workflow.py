@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..functions.report import Report
 from ..plans.formula import parse
 from ..sources.panel import Panel
 from .coint import cointegration_test
@@ -23,15 +26,18 @@ def pooled_residuals(panel: Panel, y: str, xs: list[str]):
     return rows.select(panel.unit, panel.time, e.alias("resid"))
 
 
-def workflow(panel: Panel, formula: str, max_lags: int = 3, level: float = 0.05) -> dict:
+def workflow(panel: Panel, formula: str, max_lags: int | None = None, level: float = 0.05) -> dict:
     """balance, unit roots, dependence, cointegration, rank and lag choice; then recommended and call.
 
     Dependence, integrated and cointegrated: pmg. Dependence and integrated:
-    cce. Dependence alone: dynamic_cce. Otherwise mg.
+    cce. Dependence alone: dynamic_cce. Otherwise mg. Lags of the averages are
+    tried up to max_lags, by default the cube root of the mean number of periods.
     """
     spec = parse(formula)
     variables = spec.variables
-    out: dict = {"balance": panel.balance().first().asDict(), "unit_root": {}}
+    out = Report("Recommended model", {"balance": panel.balance().first().asDict(), "unit_root": {}})
+    if max_lags is None:
+        max_lags = max(1, math.floor(out["balance"]["t_bar"] ** (1 / 3) + 1e-9))
     for v in variables:
         try:
             out["unit_root"][v] = cips_test(panel, v)
@@ -62,7 +68,7 @@ def workflow(panel: Panel, formula: str, max_lags: int = 3, level: float = 0.05)
     else:
         model = "dynamic_cce" if dependent else "mg"
     lags = max(best, 1) if model in ("dynamic_cce", "pmg") else best
-    out |= {"recommended": model, "lags": lags, "dependent": dependent, "integrated": integrated, "cointegrated": cointegrated}
+    out.update({"recommended": model, "lags": lags, "dependent": dependent, "integrated": integrated, "cointegrated": cointegrated})
     csa = "None" if model == "mg" else "'~ .'"
     out["call"] = f"fit(panel, {formula!r}, model={model!r}, csa={csa}, csa_lags={0 if model == 'mg' else lags})"
     return out

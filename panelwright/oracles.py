@@ -16,6 +16,7 @@ C = """SELECT l_suppkey AS unit, CAST(year(l_shipdate) * 12 + month(l_shipdate)
 avg(l_quantity) / 10 AS x, avg(l_discount) * 10 AS z FROM lineitem GROUP BY 1, 2"""
 D = """SELECT user_id AS unit, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t, avg(ln(1 + value)) AS y,
 CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1, 2"""
+E = """SELECT o_custkey AS unit, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS BIGINT) AS t, avg(ln(o_totalprice)) AS y FROM orders GROUP BY 1, 2"""
 W = "(PARTITION BY unit ORDER BY t)"
 
 
@@ -100,8 +101,8 @@ round(csa_x_L1, 6) AS csa_x_L1 FROM p JOIN g USING (t)""",
     "csa_cluster": f"""WITH p AS (SELECT a.*, n_regionkey AS region FROM ({A}) a JOIN nation ON unit = n_nationkey),
 m AS (SELECT region, t, avg(y) AS csa_y FROM p GROUP BY 1, 2), g AS (SELECT *, lag(csa_y) OVER (PARTITION BY region ORDER BY t) AS l FROM m)
 SELECT unit, t, round(csa_y, 6) AS csa_y, round(l, 6) AS csa_y_L1 FROM p JOIN g USING (region, t)""",
-    "csa_wider": f"""WITH p AS ({A}), g AS (SELECT t, csa_y, lag(csa_y) OVER (ORDER BY t) AS l FROM (SELECT t, avg(y) AS csa_y FROM p GROUP BY t))
-SELECT unit, t, round(csa_y, 6) AS csa_y, round(l, 6) AS csa_y_L1 FROM p LEFT JOIN g USING (t) WHERE unit < 10""",
+    "csa_wider": f"""WITH p AS ({A}), e AS ({E}), g AS (SELECT t, csa_y, lag(csa_y) OVER (ORDER BY t) AS l FROM (SELECT t, avg(y) AS csa_y FROM e GROUP BY t))
+SELECT unit, t, round(csa_y, 6) AS csa_y, round(l, 6) AS csa_y_L1 FROM p LEFT JOIN g USING (t)""",
     "csa_spatial": f"""WITH p AS ({A}), e AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b
 ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey), w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM e),
 s AS (SELECT i, t, sum(w * y) AS v FROM w JOIN p ON j = unit GROUP BY 1, 2),
@@ -177,7 +178,7 @@ ORACLES["cd_pesaran"] = f"WITH {_pairs(A)} SELECT 'pesaran' AS test, round({_CD}
 ORACLES["cd_pea"] = (
     f"WITH {_pairs(A)} SELECT 'pea' AS test, round({_CD} + coalesce((SELECT sum(abs(rho)) FROM pairs, size WHERE abs(rho) > 2 * sqrt(ln(n) / t_all)), 0), 6) AS statistic"
 )
-_SIGNS = f"draws AS (SELECT unit, r, {sign_sql('unit', 'r')} AS w FROM (SELECT DISTINCT unit FROM v), (SELECT unnest(range(1, 11)) AS r))"
+_SIGNS = f"draws AS (SELECT unit, r, {sign_sql('unit', 'r')} AS w FROM (SELECT DISTINCT unit FROM v), (SELECT unnest(range(1, 501)) AS r))"
 for _name, _term, _scale, _agg in (
     ("cdw", "sqrt(t) * rho", "2.0", "avg(s)"),
     ("cdwplus", "((t - 1) * rho * rho - 1) / sqrt(2.0)", "1.0", "avg(abs(s))"),
@@ -275,15 +276,59 @@ cand AS (SELECT t AS date FROM g0 WHERE pos >= greatest(2, CAST(floor(0.15 * n)
 g AS (SELECT date, side, avg(b_1) AS m, var_pop(b_1) / count(*) AS v FROM f GROUP BY 1, 2)
 SELECT a.date, round({_WALD}, 6) AS wald FROM g a JOIN g b ON a.date = b.date AND a.side = 1 AND b.side = 2"""
 ORACLES["irf_path"] = f"""WITH RECURSIVE {ols('f', A_LAG, 'y', ['ylag', 'x'])}, m AS (SELECT avg(b_1) AS p, avg(b_2) AS b FROM f),
-path AS (SELECT 0 AS h, b AS r FROM m UNION ALL SELECT h + 1, r * p FROM path, m WHERE h < 8)
+path AS (SELECT 0 AS h, b AS r FROM m UNION ALL SELECT h + 1, r * p FROM path, m WHERE h < 10)
 SELECT CAST(h AS INTEGER) AS horizon, round(r, 6) AS response FROM path"""
 _DRAW = f"""units AS (SELECT *, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS n_units FROM f),
-draws AS (SELECT rep, ({hashed_sql('rep', 'place')}) % n AS i FROM (SELECT unnest(range(1, 51)) AS rep) CROSS JOIN (SELECT unnest(range(0, (SELECT count(*) FROM f))) AS place), (SELECT count(*) AS n FROM f)),
+draws AS (SELECT rep, ({hashed_sql('rep', 'place')}) % n AS i FROM (SELECT unnest(range(1, 501)) AS rep) CROSS JOIN (SELECT unnest(range(0, (SELECT count(*) FROM f))) AS place), (SELECT count(*) AS n FROM f)),
 m AS (SELECT rep, avg(b_0) AS m0, avg(b_1) AS m1 FROM draws JOIN units USING (i) GROUP BY rep)"""
 ORACLES["boot_cs"] = f"WITH {ols('f', A, 'y', ['x'])}, {_DRAW} " + " UNION ALL ".join(
     f"SELECT '{t}' AS term, round((SELECT avg(b_{j}) FROM f), 6) AS estimate, round(stddev_samp(m{j}), 6) AS std_error, round(quantile_cont(m{j}, 0.025), 6) AS low, round(quantile_cont(m{j}, 0.975), 6) AS high FROM m"
     for j, t in enumerate(MG)
 )
+_QUANTILES = "round(stddev_samp(m{j}), 6) AS std_error, round(quantile_cont(m{j}, 0.025), 6) AS low, round(quantile_cont(m{j}, 0.975), 6) AS high FROM m"
+_POOL = "sum(b_1 / s_1_1) / sum(1 / s_1_1)"
+ORACLES["boot_ccep"] = (
+    f"WITH {ols('f', A_CSA, 'y', ['x', 'csa_y', 'csa_x'], intercept=False)}, {_DRAW.split('m AS (')[0]}"
+    f"m AS (SELECT rep, {_POOL} AS m1 FROM draws JOIN units USING (i) GROUP BY rep) "
+    f"SELECT 'x' AS term, round((SELECT {_POOL} FROM f), 6) AS estimate, " + _QUANTILES.format(j=1)
+)
+ORACLES["boot_jackknife"] = (
+    f"WITH {ols('f', A_CSA, 'y', ['x', 'csa_y', 'csa_x'])}, {ols('h', _CAL, 'y', ['x', 'csa_y', 'csa_x'], keys='unit, half')}, {_DRAW.split('m AS (')[0]}"
+    "whole AS (SELECT rep, avg(b_0) AS m0, avg(b_1) AS m1 FROM draws JOIN units USING (i) GROUP BY rep), "
+    "side AS (SELECT rep, half, avg(h.b_0) AS m0, avg(h.b_1) AS m1 FROM draws JOIN units USING (i) JOIN h USING (unit) GROUP BY 1, 2), "
+    "pair AS (SELECT rep, sum(m0) AS m0, sum(m1) AS m1 FROM side GROUP BY rep), "
+    "m AS (SELECT rep, 2 * whole.m0 - 0.5 * pair.m0 AS m0, 2 * whole.m1 - 0.5 * pair.m1 AS m1 FROM whole JOIN pair USING (rep)) "
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS term, round(2 * (SELECT avg({c}) FROM f) - 0.5 * ((SELECT avg({c}) FROM h WHERE half = 1) + (SELECT avg({c}) FROM h WHERE half = 2)), 6) AS estimate, "
+        + _QUANTILES.format(j=j)
+        for j, (t, c) in enumerate(MG.items())
+    )
+)
+# e x summed by unit with a sign a row and draw; (X'X)^-1 is the covariance over the variance.
+ORACLES["boot_wild"] = (
+    f"WITH {ols('f', A, 'y', ['x'])}, e AS (SELECT unit, t, x, y - b_0 - b_1 * x AS e FROM ({A}) JOIN f USING (unit)), "
+    f"w AS (SELECT unit, rep, sum(e * ({sign_sql('rep', 'unit', 't')})) AS a, sum(e * x * ({sign_sql('rep', 'unit', 't')})) AS b "
+    "FROM e, (SELECT unnest(range(1, 501)) AS rep) GROUP BY 1, 2), "
+    "m AS (SELECT rep, avg(b_0 + (s_0_0 * a - s_1_1 * xbar1 * b) / s2) AS m0, avg(b_1 + (s_1_1 * b - s_1_1 * xbar1 * a) / s2) AS m1 FROM w JOIN f USING (unit) GROUP BY rep) "
+    + " UNION ALL ".join(f"SELECT '{t}' AS term, round((SELECT avg({c}) FROM f), 6) AS estimate, " + _QUANTILES.format(j=j) for j, (t, c) in enumerate(MG.items()))
+)
+ORACLES["irf_bands"] = f"""WITH RECURSIVE {ols('f', A_LAG, 'y', ['ylag', 'x'])}, {_DRAW.split('m AS (')[0].replace('range(1, 501)', 'range(1, 201)')}
+m AS (SELECT 0 AS rep, avg(b_1) AS p, avg(b_2) AS b FROM f UNION ALL SELECT rep, avg(b_1), avg(b_2) FROM draws JOIN units USING (i) GROUP BY rep),
+path AS (SELECT rep, 0 AS h, b AS r FROM m UNION ALL SELECT path.rep, h + 1, r * p FROM path JOIN m USING (rep) WHERE h < 10)
+SELECT CAST(h AS INTEGER) AS horizon, round(any_value(r) FILTER (WHERE rep = 0), 6) AS response,
+round(quantile_cont(r, 0.025) FILTER (WHERE rep > 0), 6) AS low, round(quantile_cont(r, 0.975) FILTER (WHERE rep > 0), 6) AS high FROM path GROUP BY h"""
+ORACLES["rolling_ccep"] = (
+    f"WITH {_windows(A, 16, 4)}, withm AS (SELECT *, avg(y) OVER (PARTITION BY w0, t) AS csa_y, avg(x) OVER (PARTITION BY w0, t) AS csa_x FROM wide), "
+    f"{ols('f', 'SELECT * FROM withm', 'y', ['x', 'csa_y', 'csa_x'], keys='w0, w1, unit', intercept=False)} "
+    f"SELECT w0 AS window_start, w1 AS window_end, 'x' AS term, round({_POOL}, 6) AS estimate, round(sqrt(1 / sum(1 / s_1_1)), 6) AS std_error "
+    "FROM f SEMI JOIN enough USING (w0) GROUP BY w0, w1"
+)
+ORACLES["rolling_csardl"] = (
+    f"WITH {_windows(A, 20, 4)}, withm AS (SELECT *, avg(y) OVER (PARTITION BY w0, t) AS csa_y, avg(x) OVER (PARTITION BY w0, t) AS csa_x, "
+    "lag(y) OVER (PARTITION BY w0, unit ORDER BY t) AS ylag FROM wide), "
+    f"{ols('f', 'SELECT * FROM withm', 'y', ['ylag', 'x', 'csa_y', 'csa_x'], keys='w0, w1, unit')} "
+    + _window_rows({"(Intercept)": "b_0", "L(y,1)": "b_1", "x": "b_2"})
+)
 ORACLES["information_criteria"] = f"""WITH {ols('f', A_CSA, 'y', ['x', 'csa_y', 'csa_x'])},
 g AS (SELECT count(*) AS n, round(avg(n)) AS t, sum(ssr) / sum(n) AS s FROM f), r AS (SELECT *, 2 * (n + t) / (n * t) AS rate, ln(n * t / (n + t)) AS p1, ln(least(n, t)) AS p2 FROM g)
 SELECT round(ln(s) + rate * p1, 6) AS ic1, round(ln(s) + rate * p2, 6) AS ic2, round(s + rate * s * p1, 6) AS pc1, round(s + rate * s * p2, 6) AS pc2, CAST(2 AS BIGINT) AS m FROM r"""

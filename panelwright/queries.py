@@ -71,6 +71,13 @@ def panel_d(spark: SparkSession, d: str) -> Panel:
     return _of(rows.agg(F.avg(F.ln(1 + F.col("value"))).alias("y"), F.count("*").cast("double").alias("x")))
 
 
+def panel_e(spark: SparkSession, d: str) -> Panel:
+    """Customers by quarter, with gaps."""
+    quarter = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long")
+    rows = _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("unit"), quarter.alias("t"))
+    return _of(rows.agg(F.avg(F.ln("o_totalprice")).alias("y")))
+
+
 def _regions(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "nation").select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"))
 
@@ -109,8 +116,8 @@ def csa_cluster(spark, d):
 
 @query
 def csa_wider(spark, d):
-    p = panel_a(spark, d)
-    return rounded(tr.csa_wider(p.with_df(p.df.filter("unit < 10")), p, ["y"], 1).df.select("unit", "t", "csa_y", "csa_y_L1"))
+    """Averages over all customers for the panel of nations."""
+    return rounded(tr.csa_wider(panel_a(spark, d), panel_e(spark, d), ["y"], 1).df.select("unit", "t", "csa_y", "csa_y_L1"))
 
 
 @query
@@ -247,7 +254,7 @@ def confint(spark, d):
 
 def _cd(spark, d, test):
     p = panel_a(spark, d)
-    return rounded(depend.cd_tests(p.df, "unit", "t", "y", [test], reps=10).select("test", "statistic"))
+    return rounded(depend.cd_tests(p.df, "unit", "t", "y", [test]).select("test", "statistic"))
 
 
 @query
@@ -362,6 +369,18 @@ def rolling_cce(spark, d):
     return rounded(r.select("window_start", "window_end", "term", "estimate", "std_error"))
 
 
+@query
+def rolling_ccep(spark, d):
+    r = rolling.rolling(panel_a(spark, d), "y ~ x", 16, 4, model="ccep", constant=False)
+    return rounded(r.select("window_start", "window_end", "term", "estimate", "std_error"))
+
+
+@query
+def rolling_csardl(spark, d):
+    r = rolling.rolling(panel_a(spark, d), "y ~ L(y,1) + x", 20, 4, model="csardl")
+    return rounded(r.select("window_start", "window_end", "term", "estimate", "std_error"))
+
+
 BREAK = 1997 * 4 + 4
 
 
@@ -386,23 +405,33 @@ def break_several(spark, d):
 @query
 def irf_path(spark, d):
     f = estimators.fit(panel_a(spark, d), "y ~ L(y,1) + x", "mg", csa=None)
-    return rounded(resample.impulse_response(f, "x", 8, 0).select("horizon", "response"))
+    return rounded(resample.impulse_response(f, "x", 10, 0).select("horizon", "response"))
 
 
 @query
 def irf_bands(spark, d):
     f = estimators.fit(panel_a(spark, d), "y ~ L(y,1) + x", "mg", csa=None)
-    return rounded(resample.impulse_response(f, "x", 8, 100))
+    return rounded(resample.impulse_response(f, "x"))
 
 
 @query
 def boot_cs(spark, d):
-    return rounded(resample.bootstrap(_mg(spark, d), reps=50))
+    return rounded(resample.bootstrap(_mg(spark, d)))
+
+
+@query
+def boot_ccep(spark, d):
+    return rounded(resample.bootstrap(estimators.fit(panel_a(spark, d), "y ~ x", "ccep", constant=False)))
+
+
+@query
+def boot_jackknife(spark, d):
+    return rounded(resample.bootstrap(estimators.fit(panel_a(spark, d), "y ~ x", "cce", correction="jackknife")))
 
 
 @query
 def boot_wild(spark, d):
-    return rounded(resample.bootstrap(_mg(spark, d), "wild", reps=20))
+    return rounded(resample.bootstrap(_mg(spark, d), "wild"))
 
 
 @query
@@ -421,7 +450,7 @@ def rank_condition(spark, d):
 
 @query
 def recommended_model(spark, d):
-    r = workflow.workflow(panel_a(spark, d), "y ~ x", 1)
+    r = workflow.workflow(panel_a(spark, d), "y ~ x")
     return spark.createDataFrame([(r["recommended"], r["lags"], r["call"])], "model string, lags long, call string")
 
 
