@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, drop, shared_dir
+
+__all__ = ["BATCH_BYTES", "WORD", "cut", "drop", "few", "lower_ascii", "map_arrow", "shared_dir", "table", "text_key"]
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,20 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is spark.checkpoint.dir. Where that is unset, a local master gets
-    /tmp/checkpoints; a cluster has no safe default, so it is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints"
-
-
 #: Bytes that go to Python at once, or one row if it is longer; Spark's default is 64 MB.
 BATCH_BYTES = 4 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -45,36 +34,6 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    The lineage ends there, so that a lost executor costs only the tasks that
-    read the table. The table goes when the application ends, or by drop(). The
-    shuffles that made earlier tables go here: Spark deletes their files once
-    the driver's garbage is collected, which it may not be for long.
-    """
-    spark = df.sparkSession
-    spark.sparkContext._jvm.System.gc()
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _folder(spark, path)[0].deleteOnExit(_folder(spark, path)[1])
-    table = spark.read.schema(df.schema).parquet(path)
-    table._cut_path = path
-    return table
-
-
-def _folder(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of cut() that nothing reads any more: what was made of them must have been written too."""
-    for t in tables:
-        fs, at = _folder(t.sparkSession, t._cut_path)
-        fs.delete(at, True)
-
-
 def few(df: DataFrame) -> DataFrame:
     """df in an eighth of its tasks, but enough for all cores: for rows that are small beside what they are made of.
 

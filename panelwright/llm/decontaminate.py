@@ -9,9 +9,14 @@ A hit gives the place of the token; the bounds of segment and document limit
 how far words are compared to both sides, and a window counts if all its words
 are equal.
 
-Tasks pass over the documents with a Bloom filter of ``FILTER_BITS`` bits,
-whatever the size of the benchmark: its false positives are dropped by the
-join. Defined cases: a null or empty text has no words; an item without words
+Tasks pass over the documents with a Bloom filter that grows with the number of
+distinct tokens up to a fixed size; its false positives are dropped by the
+join. A hit carries the words around it, as far as a window can reach; the
+token of an item of fewer words than a shingle is the whole window, so its hits
+carry no other word. Of equally rare tokens the one with the smaller hash, then
+the earlier one, is the prefix; which it is does not change what is found.
+
+Defined cases: a null or empty text has no words; an item without words
 has no window; a null item_id counts as an item named by the empty string;
 repeated items and documents are as if alone; an item_id may stand
 for many texts, each with its own windows; very long texts are read whole;
@@ -32,7 +37,9 @@ from .common import cut, map_arrow, text_key
 
 WIDTH = 13
 GRAM = 3
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each distinct token, and at most: 32 MB. Beyond that it lets more pass, and the join drops it.
+BITS_EACH = 32
+MOST_BITS = 1 << 28
 
 
 def _tokens(chunk: nt.Chunk, gram: int, hashed=None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +110,30 @@ def item_tokens(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _filter_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap with the bits of the hashes; at most FILTER_BITS numbers come to the driver."""
-    bits = hashes.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toArrow()
-    have = np.zeros(FILTER_BITS, bool)
-    have[bits.column(0).to_numpy()] = True
-    return np.packbits(have)
+    """A Bloom filter of the hashes, two bits each, of at least BITS_EACH bits a hash up to MOST_BITS.
+
+    Spark makes it in blocks of 4 KB; the driver puts these together, so it gets
+    no more than the filter itself.
+    """
+    n = hashes.select(F.approx_count_distinct(column)).first()[0]
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * max(1, n) - 1).bit_length()))
+    both = [F.pmod(F.col(column), F.lit(bits)), F.pmod(F.shiftright(F.col(column), 32), F.lit(bits))]
+    at = hashes.select(F.explode(F.array(*both)).alias("b"))
+    # The number of a block and the place within its 32768 bits.
+    blocks = at.groupBy(F.shiftright("b", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("v"))
+    have = np.zeros(bits // 8, np.uint8)
+    for k, v in zip(*[c.to_pylist() for c in blocks.toArrow().columns], strict=True):
+        have[k * 4096 : (k + 1) * 4096] = np.frombuffer(v, np.uint8)
+    return have
 
 
 def _passing(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h & np.uint64(8 * len(bitmap) - 1)
-    return ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1) > 0
+    signed, last = nt.as_long(h), np.int64(8 * len(bitmap) - 1)
+    ok = np.ones(len(h), bool)
+    for number in (signed, signed >> np.int64(32)):
+        bit = number & last
+        ok &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+    return ok
 
 
 def token_counts(docs: DataFrame, tokens: DataFrame, grams: list[int]) -> DataFrame:
@@ -189,11 +210,12 @@ def token_hits(docs: DataFrame, index: DataFrame, grams: list[int], width: int =
                 raw, hits = lower.tobytes(), [[] for _ in range(chunk.n)]
                 doc = nt.owners(of_doc)
                 for gram in grams:
+                    around = width if gram == GRAM else 0
                     h, at = _tokens(chunk, gram, hashed)
                     ok = _passing(bitmap.value, h)
                     for x, p in zip(nt.as_long(h[ok]).tolist(), at[ok].tolist(), strict=True):
                         d = doc[p]
-                        a, b = max(of_doc[d], p - width), min(of_doc[d + 1], p + width + gram)
+                        a, b = max(of_doc[d], p - around), min(of_doc[d + 1], p + around + gram)
                         near = b" ".join(raw[starts[j] : ends[j]] for j in range(a, b)).decode("utf-8", "replace")
                         hits[d].append({"h": x, "pos": p - int(of_doc[d]), "base": int(a - of_doc[d]), "words": near})
                 ids = [batch.column(i).slice(chunk.rows.start, chunk.n) for i in range(3)]

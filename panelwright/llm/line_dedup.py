@@ -8,8 +8,9 @@ Defined cases: a line is compared without the white space around it; lines
 without any other character are never removed; a null text has no lines and
 stays null; a text that loses all lines becomes empty; a null source is no
 site; a line repeated in one site counts once; repeated rows and null doc_ids
-are kept as rows of their own; an empty table gives no row. All other columns
-are kept, whatever their names.
+are kept as rows of their own; very long texts are split whole; a line on
+exactly min_sites sites is removed, so ties need no order; an empty table gives
+no row. All other columns are kept, whatever their names.
 """
 
 from __future__ import annotations

@@ -98,7 +98,7 @@ grams AS (
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
          len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
-         len(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]')) AS n_letters,
+         len(regexp_extract_all(text, '\p{L}')) AS n_letters,
          len(list_filter(ws, lambda x: len(x) > 2 AND x LIKE '%!!')) + len(list_filter(ws, lambda x: x = '!!')) AS n_bangs,
          len(list_filter(ws, lambda x: len(regexp_extract_all(x, '[A-Z]')) > 1 AND NOT regexp_matches(x, '[a-z]'))) AS n_caps_words,
          len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]$') OR regexp_matches(x, '^[#*$%&|<>]'))) AS n_marked
@@ -113,7 +113,8 @@ grams AS (
     + CASE WHEN 2 * n_letters < word_chars THEN 512 ELSE 0 END AS BIGINT) AS fail_bits
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
+       'standard-v1' AS policy, CASE WHEN fail_bits & (fail_bits - 1) = 0 THEN fail_bits ELSE 0 END AS sole_failure
 FROM bits
 """
 

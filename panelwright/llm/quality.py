@@ -12,12 +12,13 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
@@ -62,6 +63,16 @@ BASE = Policy("base", 1, ("few_words", "repeated_phrases"))
 STANDARD = Policy("standard", 1, tuple(BIT))
 
 
+_letters: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """For each code point whether Unicode has it as a letter."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
+    return _letters[0]
+
+
 def _measure(chunk: nt.Chunk) -> list[np.ndarray]:
     data, offs = chunk.data, chunk.offsets
     total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offs])
@@ -76,7 +87,9 @@ def _measure(chunk: nt.Chunk) -> list[np.ndarray]:
     is_symbol = symbols[data]
     upper = (data >= 0x41) & (data <= 0x5A)
     lower = (data >= 0x61) & (data <= 0x7A)
-    letters = upper | lower | (data >= 0xC0)
+    letters = upper | lower
+    if (data >= 0x80).any():
+        letters[np.flatnonzero(lead)] = _is_letter()[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
     seen_upper, seen_lower = np.concatenate([[0], np.cumsum(upper)]), np.concatenate([[0], np.cumsum(lower)])
     caps = (seen_upper[ends] - seen_upper[starts] > 1) & (seen_lower[ends] == seen_lower[starts])
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
@@ -146,6 +159,12 @@ def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def sole_failure(policy: Policy) -> Column:
+    """The bit of the one rule of the policy without which a document would be kept, 0 if there is no such rule."""
+    counted = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long"))
+    return F.when(counted.bitwiseAND(counted - 1) == 0, counted).otherwise(F.lit(0).cast("long"))
+
+
 def ablate(ledger: DataFrame, policy: Policy) -> DataFrame:
     """For each rule of the policy: documents that fail it, and that fail nothing else, so would be kept without it."""
     counted = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long"))

@@ -95,6 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & F.col("passes")).alias("kept"), "fail_bits",
+        "policy", quality.sole_failure(quality.STANDARD).alias("sole_failure"),
     )
 
 

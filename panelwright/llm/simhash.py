@@ -11,6 +11,7 @@ cut into blocks, and every pair of blocks is a unit of work of its own.
 Defined cases: a null text, an empty one and one without words have
 fingerprint zero, linked like any other; repeated rows share a component;
 null doc_ids take part but are never a component's id unless it has no other;
+a bit set in exactly half of the shingles is 0; very long texts are read whole;
 an empty table gives no row. Columns other than doc_id and text are ignored.
 """
 

@@ -1,7 +1,9 @@
 """Stages of the corpus pipeline: each applies one operator to all of its documents.
 
 All but the last return the columns of the documents they get, whatever those
-are. Rows with null or empty texts pass unless a stage says otherwise.
+are. Rows with null or empty texts pass unless a stage says otherwise; very long
+texts are worked on whole; repeated rows are rows of their own unless a stage
+says otherwise; an empty table gives an empty one; columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,12 +32,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on ten sites or more."""
+    """All documents, without lines that stand on ten sites or more; a text that loses all lines stays, empty."""
     return line_dedup.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of its smallest doc_id, null last, and one row of it."""
+    """One document of each component of near copies: that of its smallest doc_id, null last, and one row of it.
+
+    Null and empty texts are near copies of each other. Of equal ids with
+    different texts the one with the smaller hash stays.
+    """
     keyed = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), *text_key(docs["text"]))
     marked = simhash.near_duplicates(keyed, ["doc_id", "_k1", "_k2"])
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2"))
@@ -50,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark; those without words never are, and an empty benchmark keeps all."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter(decontaminate.is_contaminated())
     gone = found.select(F.col("doc_id").alias("_id"), F.col("_k1").alias("_a"), F.col("_k2").alias("_b")).distinct()
     first, second = text_key(docs["text"])
@@ -59,5 +65,5 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that a document is drawn, with its shard and place."""
+    """The mix: a row for each time that a document is drawn, with its shard and place; texts without words are never drawn."""
     return mixing.draw(docs)

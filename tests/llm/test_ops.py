@@ -388,6 +388,16 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.withColumns({"turns": F.lit(1), "pieces": F.lit(2), "t": F.lit(3)})).count() == len(want)
 
 
+def test_chat_of_many_turns(spark):
+    df = spark.range(50_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    r = chat_format.format_chats(df).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))).select(F.size("loss_spans").alias("n"), "loss").first()
+    want = [f"t{i}" for i in range(50_000) if i % 3]
+    assert r.n == len(want) and r.loss == "".join(want)
+    long = spark.createDataFrame([(1, 0, "user", "é" * 5000), (1, 1, "assistant", "ü<|漢" * 4000), (1, 2, "assistant", ""), (1, 3, "assistant", "x" * 4096)], "conv_id long, turn long, role string, text string")
+    r = chat_format.format_chats(long).select(chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.loss == "ü<|漢" * 4000 + "x" * 4096
+
+
 # --- 7
 
 
@@ -417,13 +427,30 @@ def test_contamination_by_texts_that_share_a_name(spark):
 
 
 def test_contamination_with_a_full_filter(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(decontaminate, "FILTER_BITS", 64)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 15)
+    monkeypatch.setattr(decontaminate, "BITS_EACH", 1)
     items = [("a", rows[0][1]), ("b", rows[5][1])]
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), decontaminate.is_contaminated())
     same(got, brute.contamination([(r[0], r[1]) for r in rows], items))
 
 
+def test_filter_grows_with_its_tokens(spark):
+    few, many = (decontaminate._filter_of(spark.range(n).select(F.xxhash64("id").alias("h")), "h") for n in (10, 200_000))
+    assert len(few) * 8 == 1 << 16 and 32 * 200_000 <= 8 * len(many) <= 128 * 200_000
+    own = np.array([r[0] for r in spark.range(200_000).select(F.xxhash64("id")).collect()], np.int64).view(np.uint64)
+    other = np.random.default_rng(0).integers(0, 1 << 63, 200_000, dtype=np.uint64) * np.uint64(2)
+    assert decontaminate._passing(many, own).all() and decontaminate._passing(many, other).mean() < 0.01
+
+
+def test_short_items_carry_no_other_words(spark):
+    docs = spark.createDataFrame([(1, "one two three four one"), (2, "none")], "doc_id long, text string")
+    items = decontaminate.item_tokens(spark.createDataFrame([("a", "one")], "item_id string, text string"))
+    index = items.select(F.explode("hashes").alias("h"))
+    hits = decontaminate.token_hits(docs, index, [1]).select(F.explode("hits").alias("x")).select("x.pos", "x.words").collect()
+    assert sorted(tuple(r) for r in hits) == [(0, "one"), (4, "one")]
+
+
 def test_contamination_edges(spark, docs, empty, clashing):
     bench = spark.createDataFrame([("a", "all sites have this line")], "item_id string, text string")
     assert decontaminate.contamination(empty, bench).count() == 0
@@ -587,6 +614,16 @@ def test_quality(docs, rows):
         assert r.n_failed == sum(bool(x & b) for x in bits) and r.n_only == sum(x == b for x in bits)
 
 
+def test_letters_by_category(spark):
+    df = spark.createDataFrame([(1, "aé漢ß —“”€… ١٢ ʰ")], "doc_id long, text string")
+    assert quality.measure(df).first().n_letters == 5
+
+
+def test_sole_failure(docs):
+    rows = quality.measure(docs).select("fail_bits", quality.sole_failure(quality.STANDARD).alias("s")).collect()
+    assert all(r.s == (r.fail_bits if bin(r.fail_bits).count("1") == 1 else 0) for r in rows) and any(r.s for r in rows)
+
+
 def test_quality_edges(empty, clashing, docs):
     assert quality.measure(empty).count() == 0
     assert quality.measure(clashing).count() == docs.count()
