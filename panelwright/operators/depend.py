@@ -14,6 +14,7 @@ from ..functions.draws import draw_counts, sign_array
 from ..functions.report import Report
 from ..functions.tails import normal_quantile, two_sided
 from ..sources.scratch import cut
+from .ols import ols, period_products
 
 TESTS = ("pesaran", "cdw", "cdwplus", "pea", "cdstar")
 
@@ -90,14 +91,7 @@ def top_share(df: DataFrame, unit: str, time: str, value: str, n_pca: int = 1) -
 
 def time_gram(df: DataFrame, unit: str, time: str, value: str, times: list) -> np.ndarray:
     """E'E, T x T: sums over units of products of two periods. It is as large as the number of periods squared."""
-    a = df.select(unit, F.col(time).alias("s"), F.col(value).alias("x"))
-    b = df.select(unit, F.col(time).alias("t"), F.col(value).alias("y"))
-    rows = a.join(b, unit).filter("s <= t").groupBy("s", "t").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
-    at = {t: i for i, t in enumerate(times)}
-    g = np.zeros((len(times), len(times)))
-    for s, t, v in rows:
-        g[at[s], at[t]] = g[at[t], at[s]] = v
-    return g
+    return period_products(df, unit, time, [value], times)[0, 0]
 
 
 def cd_tests(df: DataFrame, unit: str, time: str, value: str, tests: list[str] | None = None, reps: int = 500, seed: int = 0, n_pca: int = 1) -> DataFrame:
@@ -141,8 +135,6 @@ def cd_tests(df: DataFrame, unit: str, time: str, value: str, tests: list[str] |
 
 def exponent_variable(df: DataFrame, unit: str, time: str, value: str, size: float = 0.05) -> dict:
     """alpha, se, low, high of the exponent of cross-sectional dependence of a variable."""
-    from .ols import ols
-
     d = df.filter(F.col(value).isNotNull())
     means = d.groupBy(time).agg(F.avg(value).alias("_m"))
     n = d.select(unit).distinct().count()

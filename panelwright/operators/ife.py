@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.formula import ModelSpec
 from ..sources.panel import Panel
 from .fit import PanelFit
+from .ols import period_products
 
 
 def balanced(panel: Panel, columns: list[str]):
@@ -48,17 +49,7 @@ def fit_ife(panel: Panel, spec: ModelSpec, rounds: int = 100, tol: float = 1e-8)
 
         w = Window.partitionBy(panel.unit)
         rows = rows.select(panel.unit, panel.time, *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in cols])
-    # S[i, j] = sum over units of column i at period s times column j at period t.
-    a = rows.select(panel.unit, F.col(panel.time).alias("_s"), F.array(*cols).alias("_a"))
-    b = rows.select(panel.unit, F.col(panel.time).alias("_t"), F.array(*cols).alias("_b"))
-    sums = [F.sum(F.get("_a", F.lit(i)) * F.get("_b", F.lit(j))).alias(f"s{i}_{j}") for i in range(k + 1) for j in range(k + 1)]
-    got = a.join(b, panel.unit).groupBy("_s", "_t").agg(*sums).collect()
-    at = {x: i for i, x in enumerate(times)}
-    s = np.zeros((k + 1, k + 1, t, t))
-    for r in got:
-        for i in range(k + 1):
-            for j in range(k + 1):
-                s[i, j, at[r["_s"]], at[r["_t"]]] = r[f"s{i}_{j}"]
+    s = period_products(rows, panel.unit, panel.time, cols, times)
 
     def slopes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = np.einsum("ijst,st->ij", s, m)  # sums of products after projection

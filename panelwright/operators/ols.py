@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +145,47 @@ def pooled_inverse_variance(w: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray,
     return v @ wb, v
 
 
+def period_products(df: DataFrame, unit: str, time: str, columns: list[str], times: list) -> np.ndarray:
+    """(K, K, T, T): sums over units of column i at period s times column j at period t, over the periods given.
+
+    Each task adds up outer products of its units' rows, and Spark adds up the
+    tasks'; K T rows of as many numbers come to the driver.
+    """
+    spark, k, n = df.sparkSession, len(columns), len(times)
+    kind = df.schema[time].dataType.simpleString()
+    places = spark.createDataFrame(list(zip(times, range(n), strict=True)), f"_time {kind}, _pos int")
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    cells = df.join(places, F.col(time) == F.col("_time")).groupBy(unit).agg(F.collect_list(F.struct("_pos", values.alias("v"))).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n * k, n * k))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                own = batch.column(0).slice(a, 1024)
+                flat = own.flatten()
+                e = np.zeros((len(own), n, k))
+                row = np.repeat(np.arange(len(own)), np.asarray(own.value_lengths()))
+                e[row, flat.field(0).to_numpy(zero_copy_only=False)] = np.nan_to_num(flat.field(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
+                wide = e.reshape(len(own), n * k)
+                total += wide.T @ wide
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * k, dtype=np.int32)), pa.array(list(total))], names=["i", "v"])
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for i, v in zip(pdf["i"], pdf["v"], strict=True):
+                sums[i] = sums.get(i, 0.0) + v
+        if sums:
+            yield pd.DataFrame({"i": list(sums), "v": list(sums.values())})
+
+    parts = cells.select("cells").mapInArrow(run, "i int, v array<double>").repartition("i")
+    rows = parts.mapInPandas(total, "i int, v array<double>").collect()
+    out = np.zeros((n * k, n * k))
+    for i, v in rows:
+        out[i] = v
+    return out.reshape(n, k, n, k).transpose(1, 3, 0, 2)
+
+
 def delta_method(g, b, v, step: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """g(b) and its variance J V J', with derivatives by central differences."""
     b = np.asarray(b, float)
