@@ -10,13 +10,15 @@ weights of that mixture. Long texts are read in overlapping windows: each
 has ``CONTEXT`` subwords that the one before has scored, and every subword is
 scored once.
 
-Counts of words and subwords cover every training document. The weights are
-fitted on a share of the training text that is the same at every size: one
-window for each ``FIT_EVERY`` training subwords, drawn with the same chance a
-subword (more where that would be less than ``FIT_LEAST`` windows). The windows
-stay on the executors. In each of ``FIT_ROUNDS`` rounds every task improves the
-common weights on its own windows, and Spark averages what they have found, so
-the driver holds one model, whatever the input. Documents meet the counts of
+Everything that is learned comes from every training document: counts of words
+and subwords, the classes, whose counts of neighbours cover all the text, and
+the weights, for which every training subword, the ends too, is a target. The
+windows are those that a text is scored by; they are cut from the documents
+where these lie and are never written. Each of ``FIT_ROUNDS`` rounds takes
+another part of the documents, so that all rounds together go once through the
+text (small tables several times): every task improves the common weights on
+its own windows, and Spark averages what they have found, so the driver holds
+one model, whatever the input. Documents meet the counts of
 their words and triples in packs of some megabytes: each pack sends its
 distinct words and triples once, so no task holds all of either, and counts
 come back by joins, whose frequent keys can be split.
@@ -31,7 +33,7 @@ ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +60,7 @@ OWN_IDS, HASHED = 4096, 2048
 CONTEXTS = 128
 FIT_EVERY = 4096
 FIT_LEAST = 16384
-#: Steps of a round for FIT_LEAST windows; a task with more of them makes more.
+#: Least steps of a task in a round; a task with more windows makes as many as they take.
 FIT_ROUNDS, ROUND_STEPS, BATCH = 8, 60, 128
 #: Weights of a word's own share; the text's probability is the mean over them.
 SHARES = (0.03, 0.15, 0.5, 0.85)
@@ -67,6 +69,8 @@ PACK_BYTES = 6 << 20
 SLICE_WORDS = 1 << 16
 #: Stands before a word's first subword in triples.
 START = 65535
+#: Stands behind a text's end in its last window; no target.
+NONE = 65535
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -293,6 +297,23 @@ def _windows(words, offsets, piece_at, pieces, docs: np.ndarray, chance: float,
     return out
 
 
+def _all_windows(words, offsets, piece_at, pieces, docs: np.ndarray) -> np.ndarray:
+    """The windows that the documents are scored by: every subword, the ends too, is a target of one of them."""
+    n = np.diff(offsets)[docs]
+    own = np.concatenate([[0], np.cumsum(n)])
+    src = np.arange(own[-1]) - np.repeat(own[:-1] - offsets[docs], n)
+    index, begin, *_ = _streams(words[src], own, piece_at, pieces)
+    ids, size = np.append(pieces, END).astype(np.uint16)[index], np.diff(begin)
+    n_win = -(-size // STRIDE)
+    gap = CONTEXT + 1
+    base = np.concatenate([[0], np.cumsum(gap + STRIDE * n_win)])
+    padded = np.full(base[-1], NONE, np.uint16)
+    padded[base[:-1, None] + np.arange(gap)] = END
+    padded[np.arange(len(ids)) + np.repeat(base[:-1] + gap - begin[:-1], size)] = ids
+    first = np.repeat(base[:-1] - STRIDE * (np.cumsum(n_win) - n_win), n_win) + STRIDE * np.arange(n_win.sum())
+    return padded[first[:, None] + np.arange(WINDOW + 1)]
+
+
 @dataclass
 class Model:
     to_model: np.ndarray  # subword -> model id
@@ -351,10 +372,10 @@ def frequent(counts: np.ndarray, n: int) -> np.ndarray:
 
 def cooccurrence(windows: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Numbers next * CONTEXTS + c for each subword of the windows whose predecessor is before[c]."""
-    col = np.full(N_IDS, -1)
+    col = np.full(NONE + 1, -1)
     col[before] = np.arange(len(before))
     prev, nxt = col[windows[:, :-1].ravel()], windows[:, 1:].ravel().astype(np.int64)
-    ok = prev >= 0
+    ok = (prev >= 0) & (nxt != NONE)
     return nxt[ok] * CONTEXTS + prev[ok]
 
 
@@ -395,51 +416,100 @@ def start_of(counts: np.ndarray, to_class: np.ndarray, seed: int = 0) -> Start:
 
 
 def improve(start: Start, weights: np.ndarray, windows: np.ndarray, steps: int, rate: float, seed: int) -> np.ndarray:
-    """All weights after some steps of Adam on batches of the windows."""
+    """All weights after some steps of Adam on batches of the windows, which take turns: none comes again before all have come."""
     rng = np.random.default_rng(seed)
-    flat_p = weights.astype(np.float32).copy()
-    p = unpacked(flat_p)
-    first, second = np.zeros_like(flat_p), np.zeros_like(flat_p)
+    whole = weights.astype(np.float32)
+    # Embeddings of subwords that do not occur have no gradient and stay.
+    to_model = np.append(start.to_model, np.zeros(NONE + 1 - N_IDS, np.int32))
+    to_class = np.append(start.to_class, np.zeros(NONE + 1 - N_IDS, np.int32))
+    occurs = np.zeros(OWN_IDS + HASHED, bool)
+    for i in range(0, len(windows), 1 << 14):
+        occurs[to_model[windows[i : i + (1 << 14), :-1]]] = True
+    to_model = (np.cumsum(occurs) - 1)[to_model].astype(np.int32)
+    n_e = int(occurs.sum()) * EMBED
+    flat_p = np.concatenate([unpacked(whole)["e"][occurs].ravel(), whole[(OWN_IDS + HASHED) * EMBED :]])
+    grad, first, second, step_by = (np.zeros_like(flat_p) for _ in range(4))
+    at = n_e + np.cumsum([0, EMBED * DIM, EMBED * DIM, (2 * EMBED + 1) * CLASSES])
+    # wv, wb and c stand one after another: one matrix for a row of what attention gives, the subword's embedding and 1.
+    views = lambda x: (
+        x[:n_e].reshape(-1, EMBED), x[at[0] : at[1]].reshape(EMBED, DIM), x[at[1] : at[2]].reshape(EMBED, DIM),
+        x[at[2] : at[3]].reshape(2 * EMBED + 1, CLASSES), x[at[3] :],
+    )
+    (e, wq, wk, out, r), (ge, gq, gk, g_out, gr) = views(flat_p), views(grad)
     dist = (np.arange(STRIDE)[:, None] + CONTEXT) - np.arange(WINDOW)[None]
-    ahead = dist < 0
+    ahead, far = dist < 0, np.maximum(dist, 0)
+    # Arrays that every step fills again: new ones cost as much as the work.
+    new = lambda *shape: np.empty(shape, np.float32)
+    ex, dex, eq, ctx, dctx = new(BATCH, WINDOW, EMBED), new(BATCH, WINDOW, EMBED), new(BATCH, STRIDE, EMBED), new(BATCH, STRIDE, EMBED), new(BATCH, STRIDE, EMBED)
+    q, k, dq, dk, a, ds = new(BATCH, STRIDE, DIM), new(BATCH, WINDOW, DIM), new(BATCH, STRIDE, DIM), new(BATCH, WINDOW, DIM), new(BATCH, STRIDE, WINDOW), new(BATCH, STRIDE, WINDOW)
+    phi, dphi, z = new(BATCH * STRIDE, 2 * EMBED + 1), new(BATCH * STRIDE, 2 * EMBED + 1), new(BATCH * STRIDE, CLASSES)
+    of_k, of_q, rows = new(BATCH * WINDOW, EMBED), new(BATCH * STRIDE, EMBED), np.arange(BATCH * STRIDE)
+    one_w, one_c = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32)
+    flat = lambda t: t.reshape(-1, t.shape[-1])
+    phi[:, -1] = 1
+    order = np.zeros(0, np.int64)
     for step in range(steps):
-        own = windows[rng.integers(0, len(windows), BATCH)]
-        x, y = start.to_model[own[:, :-1]], start.to_class[own[:, CONTEXT + 1 :]]
-        # What stands before the text is no target.
-        real = np.maximum.accumulate(own != END, axis=1)[:, CONTEXT:WINDOW]
-        w = (real | (own[:, CONTEXT + 1 :] != END)).astype(np.float32)
-        total = max(1.0, float(w.sum()))
-        ex = p["e"][x]
-        k, v = ex @ p["wk"], ex @ p["wv"]
-        eq = ex[:, CONTEXT:]
-        q, base = eq @ p["wq"], eq @ p["wb"]
-        a = np.where(ahead, -1e9, q @ k.transpose(0, 2, 1) + p["r"][np.maximum(dist, 0)])
-        a = np.exp(a - a.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        z = a @ v + base + p["c"]
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        z /= z.sum(axis=2, keepdims=True)
-        z[np.arange(BATCH)[:, None], np.arange(STRIDE)[None], y] -= 1
-        dz = (z * (w / total)[:, :, None]).astype(np.float32)
-        da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dv, dq, dk = a.transpose(0, 2, 1) @ dz, ds @ k, ds.transpose(0, 2, 1) @ q
-        dex = dk @ p["wk"].T + dv @ p["wv"].T
-        dex[:, CONTEXT:] += dq @ p["wq"].T + dz @ p["wb"].T
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        de = np.zeros_like(p["e"])
-        np.add.at(de, x.ravel(), flat(dex))
-        g = {
-            "e": de, "wq": flat(eq).T @ flat(dq), "wk": flat(ex).T @ flat(dk), "wv": flat(ex).T @ flat(dv),
-            "wb": flat(eq).T @ flat(dz), "c": dz.sum(axis=(0, 1)),
-            "r": np.bincount(dist[~ahead], ds.sum(axis=0)[~ahead], WINDOW).astype(np.float32),
-        }
-        grad = np.concatenate([g[name].ravel() for name in shapes()])
-        first += 0.1 * (grad - first)
-        second += 0.01 * (grad**2 - second)
+        while len(order) < BATCH:
+            order = np.concatenate([order, rng.permutation(len(windows))])
+        own, order = windows[order[:BATCH]], order[BATCH:]
+        x, y = to_model[own[:, :-1]], to_class[own[:, CONTEXT + 1 :]].ravel()
+        w = (own[:, CONTEXT + 1 :] != NONE).ravel().astype(np.float32)
+        w /= max(1.0, float(w.sum()))
+        np.take(e, x, axis=0, out=ex, mode="clip")
+        eq[:] = ex[:, CONTEXT:]
+        np.matmul(flat(eq), wq, out=flat(q))
+        np.matmul(flat(ex), wk, out=flat(k))
+        np.matmul(q, k.transpose(0, 2, 1), out=a)
+        large = max(a.max(), -a.min()) + np.abs(r).max() > 60
+        a += np.where(ahead, np.float32(-1e9), r[far])
+        if large:
+            a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a /= (flat(a) @ one_w).reshape(BATCH, STRIDE, 1)
+        np.matmul(a, ex, out=ctx)
+        phi[:, :EMBED], phi[:, EMBED:-1] = flat(ctx), flat(eq)
+        np.matmul(phi, out, out=z)
+        if max(z.max(), -z.min()) > 60:
+            z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (w / (z @ one_c))[:, None]
+        z[rows, y] -= w
+        np.matmul(phi.T, z, out=g_out)
+        np.matmul(z, out.T, out=dphi)
+        dctx[:] = dphi[:, :EMBED].reshape(dctx.shape)
+        np.matmul(dctx, ex.transpose(0, 2, 1), out=ds)
+        ds -= np.einsum("nsd,nsd->ns", dctx, ctx)[:, :, None]
+        ds *= a
+        np.matmul(ds, k, out=dq)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+        np.matmul(flat(eq).T, flat(dq), out=gq)
+        np.matmul(flat(ex).T, flat(dk), out=gk)
+        gr[:] = np.bincount(dist[~ahead], ds.sum(axis=0)[~ahead], WINDOW)
+        np.matmul(a.transpose(0, 2, 1), dctx, out=dex)
+        dex += np.matmul(flat(dk), wk.T, out=of_k).reshape(dex.shape)
+        np.matmul(flat(dq), wq.T, out=of_q)
+        of_q += dphi[:, EMBED:-1]
+        dex[:, CONTEXT:] += of_q.reshape(dctx.shape)
+        by = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        kinds = x.ravel()[by]
+        begin = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+        np.take(flat(dex), by, axis=0, out=of_k, mode="clip")
+        ge[:] = 0
+        ge[kinds[begin]] = np.add.reduceat(of_k, begin, axis=0)
+        first *= np.float32(0.9)
+        first += np.multiply(grad, np.float32(0.1), out=step_by)
+        second *= np.float32(0.99)
+        grad *= grad
+        second += np.multiply(grad, np.float32(0.01), out=step_by)
+        np.sqrt(second, out=step_by)
+        step_by += np.float32(1e-8)
+        np.divide(first, step_by, out=step_by)
         fix = np.sqrt(1 - 0.99 ** (step + 1)) / (1 - 0.9 ** (step + 1))
-        flat_p -= np.float32(rate * min(1.0, (step + 1) / 10) * fix) * first / (np.sqrt(second) + np.float32(1e-8))
-    return flat_p
+        step_by *= np.float32(rate * min(1.0, (step + 1) / 10) * fix)
+        flat_p -= step_by
+    whole = np.concatenate([whole[: (OWN_IDS + HASHED) * EMBED], flat_p[n_e:]])
+    unpacked(whole)["e"][occurs] = e
+    return whole
 
 
 def model_of(start: Start, weights: np.ndarray) -> Model:
@@ -457,23 +527,34 @@ def _rate(number: int) -> float:
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """All windows of a task, in an order that does not depend on files."""
     parts = [np.frombuffer(b, np.uint16) for b in sorted(b for batch in batches for b in batch.column("w").to_pylist())]
-    return np.concatenate(parts).reshape(-1, WINDOW + 1).astype(np.int32) if parts else np.zeros((0, WINDOW + 1), np.int32)
+    return np.concatenate(parts).reshape(-1, WINDOW + 1) if parts else np.zeros((0, WINDOW + 1), np.uint16)
+
 
+def fit(windows: DataFrame | Callable[[int | None], DataFrame], counts: np.ndarray, seed: int = 0) -> Model:
+    """The model by rounds of averaging over the tasks that read the windows (pack, w); counts: of all training subwords.
 
-def fit(windows: DataFrame, counts: np.ndarray, seed: int = 0) -> Model:
-    """The model by rounds of averaging over the tasks that read the windows (task, w); counts: of all training subwords."""
-    sc = windows.sparkSession.sparkContext
+    windows: of a round's number those that it learns from, of None all of them; or a table for every round.
+    """
+    of_round = windows if callable(windows) else lambda number: windows
+    every = of_round(None)
+    sc = every.sparkSession.sparkContext
     before = frequent(counts, CONTEXTS)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(N_IDS * CONTEXTS, np.int64)
         for batch in batches:
             for blob in batch.column("w").to_pylist():
-                own = np.frombuffer(blob, np.uint16).reshape(-1, WINDOW + 1)
+                # Targets and what stands before each: windows share the rest.
+                own = np.frombuffer(blob, np.uint16).reshape(-1, WINDOW + 1)[:, CONTEXT:]
                 key, n = np.unique(cooccurrence(own, before), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["id", "n"])
+                sums[key] += n
+        seen = np.flatnonzero(sums)
+        for i in range(0, len(seen), 1 << 16):
+            key = seen[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums[key])], names=["id", "n"])
 
     # At most CONTEXTS numbers a subword come to the driver.
-    found = map_arrow(windows, pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(every, pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(N_IDS * CONTEXTS, np.float32)
     table[found.column("id").to_numpy()] = found.column("n").to_numpy()
     start = start_of(counts, _classes(table.reshape(N_IDS, CONTEXTS).astype(np.float64), counts, CLASSES), seed)
@@ -487,7 +568,7 @@ def fit(windows: DataFrame, counts: np.ndarray, seed: int = 0) -> Model:
             own = _rows_of(batches)
             if len(own):
                 task = TaskContext.get().partitionId()
-                steps = max(1, round(ROUND_STEPS * len(own) / FIT_LEAST))
+                steps = max(ROUND_STEPS, -(-len(own) // BATCH))
                 got = improve(known.value, now.value, own, steps, _rate(number), seed + 1000 * number + task) * np.float32(len(own))  # noqa: B023
                 cuts = [got[i : i + part].tobytes() for i in range(0, len(got), part)]
                 yield pa.RecordBatch.from_arrays(
@@ -506,7 +587,7 @@ def fit(windows: DataFrame, counts: np.ndarray, seed: int = 0) -> Model:
 
         # A slice of the weights is summed by one task, which holds it once; the driver gets each slice once.
         kind = "i int, n long, v binary"
-        summed = map_arrow(map_arrow(windows, work, kind).repartition("i"), total, kind).collect()
+        summed = map_arrow(map_arrow(of_round(number), work, kind).repartition("i"), total, kind).collect()
         if summed:
             weights = np.concatenate([np.frombuffer(r.v, np.float64) / r.n for r in sorted(summed)]).astype(np.float32)
         now.destroy()
@@ -514,7 +595,7 @@ def fit(windows: DataFrame, counts: np.ndarray, seed: int = 0) -> Model:
     return model_of(start, weights)
 
 
-def subword_scores(model: Model, ids: np.ndarray, begin: np.ndarray, batch: int = 384) -> np.ndarray:
+def subword_scores(model: Model, ids: np.ndarray, begin: np.ndarray, batch: int = 64) -> np.ndarray:
     """Log of each subword's probability; begin: where documents begin in ids, and the end."""
     n_docs = len(begin) - 1
     size = np.diff(begin)
@@ -528,26 +609,33 @@ def subword_scores(model: Model, ids: np.ndarray, begin: np.ndarray, batch: int
     doc = np.repeat(np.arange(n_docs), n_win)
     first = base[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(n_win) - n_win, n_win))
     out = np.empty((len(doc), STRIDE), np.float32)
-    cols, rows = np.arange(WINDOW), np.arange(STRIDE)
+    cols, rows, flat = np.arange(WINDOW), np.arange(STRIDE), np.arange(batch * STRIDE)
+    one_w, one_c = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32)
+    # Arrays that every batch fills again: new ones cost as much as the work.
+    kept = [np.empty((batch, n, m), np.float32) for n, m in ((STRIDE, DIM), (WINDOW, DIM), (WINDOW, CLASSES), (STRIDE, CLASSES), (STRIDE, WINDOW), (STRIDE, CLASSES))]
     for i in range(0, len(doc), batch):
         at = first[i : i + batch, None]
+        n = len(at)
+        q, k, v, b, a, z = (t[:n] for t in kept)
         x = x_all[at + cols]
-        y = y_all[at + (gap + rows)]
+        y = y_all[at + (gap + rows)].ravel()
         xq = x[:, CONTEXT:]
-        a = np.matmul(model.q[xq], model.k[x].transpose(0, 2, 1))
+        for table, key, to in ((model.q, xq, q), (model.k, x, k), (model.v, x, v), (model.b, xq, b)):
+            np.take(table, key, axis=0, out=to, mode="clip")
+        np.matmul(q, k.transpose(0, 2, 1), out=a)
         a += model.bias
         if not model.small_a:
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        total = a.sum(axis=2, keepdims=True)
-        a /= total
-        z = np.matmul(a, model.v[x])
-        z += model.b[xq]
+        a /= (a.reshape(-1, WINDOW) @ one_w).reshape(n, STRIDE, 1)
+        np.matmul(a, v, out=z)
+        z += b
         if not model.small_z:
             z -= z.max(axis=2, keepdims=True)
-        own = np.take_along_axis(z, y[:, :, None], 2)[:, :, 0]
+        z2 = z.reshape(-1, CLASSES)
+        own = z2[flat[: n * STRIDE], y]
         np.exp(z, out=z)
-        out[i : i + batch] = own - np.log(z.sum(axis=2))
+        out[i : i + batch] = (own - np.log(z2 @ one_c)).reshape(n, STRIDE)
     of_target = np.repeat(np.cumsum(n_win) - n_win, size) * STRIDE + np.arange(len(ids)) - np.repeat(begin[:-1], size)
     return out.ravel()[of_target] + model.emit[ids]
 
@@ -664,7 +752,7 @@ def _given(keys: np.ndarray, blocks: pa.StructArray | None) -> tuple[np.ndarray,
 
 
 def sample(packs: DataFrame) -> DataFrame:
-    """pack, w: windows as bytes, each training subword of every pack with the same chance; written, in as many tasks as are worth a model each."""
+    """pack, w: windows as bytes, each training subword of every pack with the same chance, to look into a model with; nothing learns from them."""
     total = packs.agg(F.sum("n_train_pieces")).first()[0] or 0
     chance = max(1 / FIT_EVERY, FIT_LEAST / max(1, total))
 
@@ -681,6 +769,26 @@ def sample(packs: DataFrame) -> DataFrame:
     return cut(rows.coalesce(max(1, int(chance * total) // FIT_LEAST)), "windows")
 
 
+def learning(packs: DataFrame, number: int | None = None, tasks: int | None = None) -> DataFrame:
+    """pack, w: windows of all training documents of a round, or of all rounds, as bytes; each document is in one round."""
+    rounds = FIT_ROUNDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name, kind: unsqueeze(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+                pack, docs = batch.column("pack")[i].as_py(), np.flatnonzero(get("training", np.uint8))
+                words, offsets, piece_at, pieces = get("words", np.int32), get("offsets", np.int64), get("piece_at", np.int32), get("pieces", np.uint16)
+                turn = (np.arange(len(docs)) + pack) % rounds
+                for part in range(rounds) if number is None else (number,):
+                    found = _all_windows(words, offsets, piece_at, pieces, docs[turn == part])
+                    for a in range(0, len(found), 1 << 14):
+                        yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([found[a : a + (1 << 14)].tobytes()], pa.binary())], names=["pack", "w"])
+
+    rows = map_arrow(packs.select("pack", "training", "words", "offsets", "piece_at", "pieces"), run, "pack long, w binary")
+    return rows.coalesce(tasks) if tasks else rows
+
+
 def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score, one row a row of docs; train: which rows to learn from."""
     with open(vocabulary, "rb") as f:  # on the driver; executors get its bytes
@@ -688,7 +796,10 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY) -> DataF
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     packs = cut(pack(docs, train, vocab), "packs")
-    model = sc.broadcast(fit(sample(packs), _piece_counts(packs)))
+    piece_n = _piece_counts(packs)
+    # A task of a round has the windows of ROUND_STEPS steps, if there are as many.
+    tasks = max(1, int(piece_n.sum()) // (STRIDE * FIT_ROUNDS * ROUND_STEPS * BATCH))
+    model = sc.broadcast(fit(lambda number: learning(packs, number, tasks), piece_n))
     totals = word_totals(packs)
     n_words, n_ends, n_kinds = packs.agg(F.sum("n_train_words"), F.sum("n_train_docs"), F.sum("n_train_kinds")).first()
     n_ends = n_ends or 0

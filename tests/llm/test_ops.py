@@ -183,6 +183,65 @@ def test_lm_fit_over_tasks(spark, monkeypatch):
     df.unpersist()
 
 
+def test_lm_learns_from_every_training_subword(spark, monkeypatch, docs):
+    monkeypatch.setattr(attention_lm, "PACK_BYTES", 1 << 14)
+    got, fit = {}, attention_lm.fit
+
+    def kept(windows, counts, *rest):
+        parts = [windows(i) for i in range(attention_lm.FIT_ROUNDS)] if callable(windows) else [windows]
+        rows = [r.w for p in parts for r in p.collect()]
+        own = np.concatenate([np.frombuffer(w, np.uint16) for w in rows]).reshape(-1, attention_lm.WINDOW + 1)
+        targets = own[:, attention_lm.CONTEXT + 1 :].ravel()
+        got["targets"] = np.bincount(targets[targets < attention_lm.N_IDS], minlength=attention_lm.N_IDS)
+        got["counts"] = counts
+        return fit(windows, counts, *rest)
+
+    monkeypatch.setattr(attention_lm, "fit", kept)
+    assert len(lm_rows(docs)) == docs.count()
+    # Each stands once among the targets of all rounds, empty texts' ends too, and nothing held out does.
+    assert got["counts"].sum() > 1000 and (got["targets"] == got["counts"]).all()
+
+
+def test_lm_steps_go_down_the_loss_of_scoring():
+    n = attention_lm
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, n.STRIDE, n.BATCH)  # with its end, each text is one window
+    words, offsets = rng.integers(0, 40, size.sum()).astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+    pieces, at = np.arange(40, dtype=np.uint16), np.arange(41)
+    windows = n._all_windows(words, offsets, at, pieces, np.arange(n.BATCH))
+    assert len(windows) == n.BATCH
+    index, begin, *_ = n._streams(words, offsets, at, pieces)
+    ids = np.append(pieces, n.END).astype(np.int32)[index]
+    counts = np.bincount(ids, minlength=n.N_IDS).astype(float)
+    to_class = np.arange(n.N_IDS) % n.CLASSES
+    start = n.start_of(counts, to_class)
+    loss = lambda x: -n.subword_scores(n.model_of(start, x), ids, begin).astype(float).sum()
+    # The first step of Adam has the sign of the gradient.
+    step = n.improve(start, start.weights, windows, 1, 0.02, 0) - start.weights
+    place = np.cumsum([0] + [int(np.prod(x)) for x in n.shapes().values()])
+    used = np.append(np.arange(40 * n.EMBED), np.arange(place[1], place[-1]))
+    right = checked = 0
+    for i in rng.choice(used, 300, replace=False):
+        up, down = start.weights.copy(), start.weights.copy()
+        up[i] += 0.05
+        down[i] -= 0.05
+        slope = loss(up) - loss(down)
+        if abs(slope) > 0.02:
+            checked += 1
+            right += slope * step[i] < 0
+    assert checked > 100 and right == checked
+
+
+def test_lm_windows_take_turns(monkeypatch):
+    monkeypatch.setattr(attention_lm, "BATCH", 16)
+    counts = np.ones(attention_lm.N_IDS)
+    start = attention_lm.start_of(counts, np.arange(attention_lm.N_IDS) % attention_lm.CLASSES)
+    windows = np.repeat(np.arange(160)[:, None], attention_lm.WINDOW + 1, axis=1)
+    moved = lambda steps: (attention_lm.unpacked(attention_lm.improve(start, start.weights, windows, steps, 0.02, 0) - start.weights)["e"] != 0).any(axis=1)
+    own = start.to_model[:160]
+    assert moved(10)[own].all() and moved(10).sum() == 160
+
+
 def plain_lm(model, backoff, encode, rows, train):
     """Scores subword by subword and word by word."""
     n = attention_lm
