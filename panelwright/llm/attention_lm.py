@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext as nt
-from .common import cut, map_arrow
+from .common import cut, drop, map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's text is split before its merges.
@@ -65,6 +65,8 @@ FIT_ROUNDS, ROUND_STEPS, BATCH = 8, 60, 128
 #: Weights of a word's own share; the text's probability is the mean over them.
 SHARES = (0.03, 0.15, 0.5, 0.85)
 PACK_BYTES = 6 << 20
+#: Entries of all packs' lists that are summed at once.
+PART = 1 << 20
 #: Words that are scored at once.
 SLICE_WORDS = 1 << 16
 #: Stands before a word's first subword in triples.
@@ -189,6 +191,15 @@ class Backoff:
         return a, b
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers, a place of each, and each number's index among them; by a hash table, not by sorting."""
+    found = pa.array(nt.as_long(hashes)).dictionary_encode()
+    inverse = found.indices.to_numpy()
+    one = np.zeros(len(found.dictionary), np.int64)
+    one[inverse] = np.arange(len(hashes))
+    return hashes[one], one, inverse
+
+
 def pack(docs: DataFrame, train: Column, vocabulary: bytes) -> DataFrame:
     """Packs of documents: word numbers, each distinct word's hash, training count and subwords."""
     kind = docs.schema["doc_id"].dataType
@@ -203,7 +214,7 @@ def pack(docs: DataFrame, train: Column, vocabulary: bytes) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, number
-            hashes, one, inverse = np.unique(np.concatenate([h[3] for h in held]), return_index=True, return_inverse=True)
+            hashes, one, inverse = _distinct(np.concatenate([h[3] for h in held]))
             shift = np.cumsum([0] + [len(h[4]) for h in held])
             data = np.concatenate([h[4] for h in held])
             starts = np.concatenate([h[5] + d for h, d in zip(held, shift, strict=False)])[one]
@@ -248,7 +259,8 @@ def pack(docs: DataFrame, train: Column, vocabulary: bytes) -> DataFrame:
                 "n_train_docs": int(training.sum()),
                 "n_train_words": int(n_train.sum()),
                 "n_train_pieces": int(piece_n.sum()),
-                "n_train_kinds": int((n_train > 0).sum()),
+                "n_kinds": len(hashes),
+                "n_grams": int(inner.sum()),
             }
             held, size = [], 0
             ids_list = pa.ListArray.from_arrays(pa.array([0, len(row["ids"])], pa.int32()), row.pop("ids"))
@@ -274,7 +286,7 @@ def pack(docs: DataFrame, train: Column, vocabulary: bytes) -> DataFrame:
         run,
         f"pack long, ids array<{kind.simpleString()}>, "
         + ", ".join(f"{b} binary" for b in binary)
-        + ", n_docs long, n_train_docs long, n_train_words long, n_train_pieces long, n_train_kinds long",
+        + ", n_docs long, n_train_docs long, n_train_words long, n_train_pieces long, n_kinds long, n_grams long",
     )
 
 
@@ -546,8 +558,7 @@ def fit(windows: DataFrame | Callable[[int | None], DataFrame], counts: np.ndarr
             for blob in batch.column("w").to_pylist():
                 # Targets and what stands before each: windows share the rest.
                 own = np.frombuffer(blob, np.uint16).reshape(-1, WINDOW + 1)[:, CONTEXT:]
-                key, n = np.unique(cooccurrence(own, before), return_counts=True)
-                sums[key] += n
+                np.add.at(sums, cooccurrence(own, before), 1)
         seen = np.flatnonzero(sums)
         for i in range(0, len(seen), 1 << 16):
             key = seen[i : i + (1 << 16)]
@@ -657,48 +668,84 @@ def _unpacked(packs: DataFrame, column: str, numbers: str | None = None) -> Data
     return map_arrow(packs.select("pack", column, *([numbers] if numbers else [])), run, "pack long, at int, id long" + ", n long" * bool(numbers))
 
 
-def _by_pack(found: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """pack and name: the rows (pack, at and the columns) of each pack as compressed blocks, written."""
-    kinds = {"int": np.int32, "bigint": np.int64, "float": np.float32}
-    types = [kinds[found.schema[c].dataType.simpleString()] for c in columns]
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each number: its upper bits after a product that spreads them."""
+    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            pack, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((cols[0], pack))
-            pack, cols = pack[order], [c[order] for c in cols]
-            own, begin = np.unique(pack, return_index=True)
-            cuts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(pack)], strict=True))
-            out = [pa.array([squeeze(x[i:j].astype(t)) for i, j in cuts], pa.binary()) for x, t in zip(cols, types, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(own), *out], names=["pack", *columns])
+def _cuts(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by part, and each part with where it begins and ends in that."""
+    order = np.argsort(part, kind="stable")
+    own, begin = np.unique(part[order], return_index=True)
+    return order, list(zip(own.tolist(), begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True))
 
+
+def _dealt(packs: DataFrame, ids: str, numbers: str | None, parts: int) -> DataFrame:
+    """part, pack, at, ids (and n): the entries of a pack's list that fall into a part as one row of compressed arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = unsqueeze(batch.column(1)[i].as_buffer(), np.int64)
+                n = [unsqueeze(batch.column(2)[i].as_buffer(), np.int64)] if numbers else []
+                order, cuts = _cuts(_part(own, parts))
+                lists = [order.astype(np.int32), own[order], *[x[order] for x in n]]
+                cols = [pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(cuts), pa.int64())]
+                cols += [pa.array([squeeze(x[a:b]) for _, a, b in cuts], pa.binary()) for x in lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "pack", "at", "ids", "n"][: len(cols)])
+
+    rows = map_arrow(packs.select("pack", ids, *([numbers] if numbers else [])), run, "part int, pack long, at binary, ids binary" + ", n binary" * bool(numbers))
+    return rows
+
+
+def _each_part(dealt: DataFrame, work: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work makes of all rows of a part, by pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            if batch.num_rows:
-                held.append([batch.column(i).to_numpy() for i in range(batch.num_columns)])
-                size += batch.num_rows
-            if size >= 1 << 19:
-                yield flush()
-                held, size = [], 0
+            for row in batch.to_pylist():
+                if held and held[0]["part"] != row["part"]:
+                    yield from work(held)
+                    held = []
+                held.append(row)
         if held:
-            yield flush()
+            yield from work(held)
+
+    return map_arrow(dealt.repartition("part").sortWithinPartitions("part", "pack"), run, schema)
+
+
+def _parts(entries: int | None) -> int:
+    return max(1, (entries or 0) // PART)
 
-    parts = map_arrow(found.select("pack", *columns), blocks, "pack long, " + ", ".join(f"{c} binary" for c in columns))
-    return cut(parts.groupBy("pack").agg(F.collect_list(F.struct(*columns)).alias(name)), name)
 
+def pack_counts(packs: DataFrame) -> DataFrame:
+    """pack, at, c, kinds: places of a pack's words that other packs have too, with their counts in all training text; written.
+
+    kinds sums to the distinct words of the training text; rows without a pack have nothing else.
+    """
+
+    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        ids = [unsqueeze(r["ids"], np.int64) for r in rows]
+        own, index, packs_of = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
+        c = np.zeros(len(own), np.int64)
+        np.add.at(c, index, np.concatenate([unsqueeze(r["n"], np.int64) for r in rows]))
+        shared, out = packs_of > 1, [(None, None, None, int((c > 0).sum()))]
+        for r, i in zip(rows, np.split(index, np.cumsum([len(x) for x in ids])[:-1]), strict=True):
+            more = shared[i]
+            if more.any():
+                out.append((r["pack"], squeeze(unsqueeze(r["at"], np.int32)[more]), squeeze(c[i[more]]), 0))
+        for a in range(0, len(out), 256):
+            cols = zip(*out[a : a + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["pack", "at", "c", "kinds"])
 
-def word_totals(packs: DataFrame) -> DataFrame:
-    """id, c, seen: of words of several packs the count in all training text, and in how many packs that is not zero; written."""
-    rows = _unpacked(packs, "hashes", "n_train")
-    totals = rows.groupBy("id").agg(F.sum("n").alias("c"), F.count("*").alias("packs"), F.sum((F.col("n") > 0).cast("long")).alias("seen"))
-    return cut(totals.filter("packs > 1").select("id", "c", "seen"), "totals")
+    parts = _parts(packs.agg(F.sum("n_kinds")).first()[0])
+    return cut(_each_part(_dealt(packs, "hashes", "n_train", parts), work, "pack long, at binary, c binary, kinds long"), "known")
 
 
-def pack_counts(packs: DataFrame, totals: DataFrame) -> DataFrame:
-    """pack, known: blocks of the places of a pack's words that other packs have too, and their counts."""
-    found = _unpacked(packs, "hashes").join(totals.select("id", "c"), "id")
-    return _by_pack(found, ["at", "c"], "known")
+def _by_pack(found: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """pack and name: the rows of each pack as a list of blocks."""
+    return found.filter("pack is not null").groupBy("pack").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
 def _summed(packs: DataFrame, ids: str, numbers: str) -> DataFrame:
@@ -713,9 +760,21 @@ def _piece_counts(packs: DataFrame) -> np.ndarray:
     return counts
 
 
-def gram_weights(packs: DataFrame) -> DataFrame:
+def gram_counts(packs: DataFrame, parts: int) -> DataFrame:
+    """id, n: every triple of any pack and its count in all training words."""
+
+    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        own, index = np.unique(np.concatenate([unsqueeze(r["ids"], np.int64) for r in rows]), return_inverse=True)
+        n = np.zeros(len(own), np.int64)
+        np.add.at(n, index, np.concatenate([unsqueeze(r["n"], np.int64) for r in rows]))
+        for a in range(0, len(own), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(own[a : a + (1 << 16)]), pa.array(n[a : a + (1 << 16)])], names=["id", "n"])
+
+    return _each_part(_dealt(packs, "grams", "gram_n", parts), work, "id long, n long")
+
+
+def gram_weights(grams: DataFrame) -> DataFrame:
     """id, a, b for every triple of any pack, from the counts of all training words, as Backoff has them."""
-    grams = cut(_summed(packs, "grams", "gram_n"), "grams")
     kinds = lambda n: F.sum((F.col(n) > 0).cast("long"))
     # A key of these joins has at most as many rows as there are subwords.
     pairs = grams.groupBy(F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pair")).agg(F.sum("n").alias("n2"))
@@ -735,8 +794,33 @@ def gram_weights(packs: DataFrame) -> DataFrame:
 
 
 def pack_weights(packs: DataFrame) -> DataFrame:
-    """pack, weights: blocks of the places of a pack's triples, in their order, and a and b of these."""
-    found = _unpacked(packs, "grams").join(cut(gram_weights(packs), "gram_weights"), "id")
+    """pack, weights: blocks of the places of a pack's triples, in their order, and a and b of these; written."""
+    parts = _parts(packs.agg(F.sum("n_grams")).first()[0])
+    grams = cut(gram_counts(packs, parts), "grams")
+    known = cut(gram_weights(grams), "gram_weights")
+    drop(grams)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, *ab = (batch.column(k).to_numpy() for k in range(3))
+            order, cuts = _cuts(_part(own, parts))
+            lists = [x[order] for x in (own, *ab)]
+            cols = [pa.array([k for k, _, _ in cuts], pa.int32())] + [pa.array([squeeze(x[i:j]) for _, i, j in cuts], pa.binary()) for x in lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "ids", "a", "b"])
+
+    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        have = [r for r in rows if r["pack"] is None]
+        own = np.concatenate([unsqueeze(r["ids"], np.int64) for r in have])
+        order = np.argsort(own)
+        own, a, b = own[order], *(np.concatenate([unsqueeze(r[k], np.float32) for r in have])[order] for k in "ab")
+        for r in rows:
+            if r["pack"] is not None:
+                at = np.searchsorted(own, unsqueeze(r["ids"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (r["pack"], r["at"], squeeze(a[at]), squeeze(b[at]))], names=["pack", "at", "a", "b"])
+
+    dealt = _dealt(packs, "grams", None, parts).unionByName(map_arrow(known, deal, "part int, ids binary, a binary, b binary"), allowMissingColumns=True)
+    found = cut(_each_part(dealt, work, "pack long, at binary, a binary, b binary"), "weights")
+    drop(known)
     return _by_pack(found, ["at", "a", "b"], "weights")
 
 
@@ -800,16 +884,15 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY) -> DataF
     # A task of a round has the windows of ROUND_STEPS steps, if there are as many.
     tasks = max(1, int(piece_n.sum()) // (STRIDE * FIT_ROUNDS * ROUND_STEPS * BATCH))
     model = sc.broadcast(fit(lambda number: learning(packs, number, tasks), piece_n))
-    totals = word_totals(packs)
-    n_words, n_ends, n_kinds = packs.agg(F.sum("n_train_words"), F.sum("n_train_docs"), F.sum("n_train_kinds")).first()
+    n_words, n_ends = packs.agg(F.sum("n_train_words"), F.sum("n_train_docs")).first()
     n_ends = n_ends or 0
     n_train = (n_words or 0) + n_ends
-    # A word of several packs is a kind in each of them.
-    more = totals.filter("seen > 0").agg(F.sum(F.col("seen") - 1)).first()[0] or 0
-    n_kinds = (n_kinds or 0) - more + (n_ends > 0)
+    counted = pack_counts(packs)
+    n_kinds = (counted.agg(F.sum("kinds")).first()[0] or 0) + (n_ends > 0)
 
     # A word of one pack has its count there already.
-    known, weights = pack_counts(packs, totals), pack_weights(packs)
+    known, weights = _by_pack(counted, ["at", "c"], "known"), pack_weights(packs)
+    sc._jvm.System.gc()  # the last shuffles of written tables go
     joined = packs.select("pack", "ids", "offsets", "words", "n_train", "piece_at", "pieces").join(known, "pack", "left").join(weights, "pack", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

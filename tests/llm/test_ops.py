@@ -1,6 +1,7 @@
 """Operators against their plain versions, with nulls, ties, repeated rows, empty tables and clashing names."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -303,6 +304,32 @@ def test_lm_score_equals_a_plain_forward_pass(spark, monkeypatch, docs, rows):
     assert dict((a, c) for a, _, c in got)[901] > -8
 
 
+def test_lm_counts_meet_packs_in_parts_and_leave_no_tables(docs, rows, monkeypatch):
+    monkeypatch.setattr(attention_lm, "PACK_BYTES", 1 << 14)
+    monkeypatch.setattr(attention_lm, "PART", 512, raising=False)
+    made, cut = [], attention_lm.cut
+
+    def kept(df, label):
+        made.append((label, cut(df, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(attention_lm, "cut", kept)
+    got = lm_rows(docs)
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    tokens = [(i, [*brute.words((t or "").translate(brute.LOWER)), None]) for i, t, *_ in rows]
+    c = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    total = sum(c.values()) + len(c) + 1
+    assert sum(r.base_score for r in got) == pytest.approx(sum(math.log10((c[w] + 1) / total) for _, ws in tokens for w in ws), rel=1e-9)
+    # Words and triples of all packs go in parts, and only what scoring reads is still there.
+    assert sorted(label for label, t in made if os.path.exists(t._cut_path)) == ["known", "packs", "weights"]
+
+
+def test_lm_distinct():
+    found = np.array([7, 2**64 - 1, 7, 0, 2**64 - 1], np.uint64)
+    kinds, one, index = attention_lm._distinct(found)
+    assert sorted(kinds.tolist()) == [0, 7, 2**64 - 1] and (kinds[index] == found).all() and (found[one] == kinds).all()
+
+
 def test_lm_edges(docs, empty, clashing):
     assert attention_lm.score(empty, F.lit(True)).count() == 0
     assert attention_lm.score(docs, F.lit(False)).filter("n_known = 0 and train_tokens = 0").count() == docs.count()
