@@ -21,7 +21,7 @@ its own windows, and Spark averages what they have found, so the driver holds
 one model, whatever the input. Documents meet the counts of
 their words and triples in packs of some megabytes: each pack sends its
 distinct words and triples once, so no task holds all of either, and counts
-come back by joins, whose frequent keys can be split.
+come back as blocks, by parts of the numbers.
 
 Defined cases: a null text is an empty one, which is only an end; very long
 texts are read whole; repeated rows count as often as they stand; null doc_ids
